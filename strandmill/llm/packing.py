@@ -21,23 +21,30 @@ from strandmill.runtime import materialise, prefix_sums, table
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
     """Placements ``(length, first rank, first container, offset)``, each good up to the length's next one, and the number of containers."""
-    placed, packs, opened = [], [], 0  # packs: most room first
+    placed, packs, opened = [], [], 0  # packs, most room first: negative room, first container, number of containers
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
         while left:
             if packs and -packs[0][0] >= length:
                 room, base, count = heapq.heappop(packs)
-                room = -room
-            else:
-                room, base, count = capacity, opened, -(-left // (capacity // length))
-                opened += count
-            take = min(left, count)
-            placed.append((length, rank, base, capacity - room))
-            if room > length:
-                heapq.heappush(packs, (length - room, base, take))
-            if take < count:
-                heapq.heappush(packs, (-room, base + take, count - take))
-            left, rank = left - take, rank + take
+                take = min(left, count)
+                placed.append((length, rank, base, capacity + room))
+                if -room > length:
+                    heapq.heappush(packs, (room + length, base, take))
+                if take < count:
+                    heapq.heappush(packs, (room, base + take, count - take))
+                left, rank = left - take, rank + take
+                continue
+            each = capacity // length  # a new pack stays the shortest one until it is full
+            for count, items in ((left // each, each), (1, left % each)):
+                if count and items:
+                    for i in range(items):
+                        placed.append((length, rank, opened, i * length))
+                        rank += count
+                    if capacity > items * length:
+                        heapq.heappush(packs, (items * length - capacity, opened, count))
+                    opened += count
+            left = 0
     return placed, opened
 
 
