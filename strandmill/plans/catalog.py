@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["operators.parse_lines"]
+MODULES = ["operators.parse_lines", "operators.kmers", "operators.readstats"]
 
 
 def _gather(what: str) -> dict:
