@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["operators.parse_lines", "operators.kmers", "operators.readstats", "operators.graph"]
+MODULES = ["operators.parse_lines", "operators.kmers", "operators.readstats", "operators.graph", "operators.align"]
 
 
 def _gather(what: str) -> dict:
