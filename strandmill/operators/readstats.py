@@ -77,7 +77,7 @@ def collapse_with_mask(reads: DataFrame, mask: str, least: int = 2, mismatches:
 
 
 MASK, PRIMER = "NNRYWSACGT", 6
-_Q = lambda *exprs: lambda s, d: fastq_reads(s, d).select("read_id", *exprs)
+_Q = lambda make: lambda s, d: fastq_reads(s, d).select("read_id", *make())
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "base_composition": lambda s, d: base_composition(fasta_reads(s, d)),
     "content_split": lambda s, d: content_split(fastq_reads(s, d), 25.0),
@@ -89,19 +89,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bernoulli_sample": lambda s, d: bernoulli(fastq_reads(s, d), 0.1, 42).select("read_id"),
     "collapse": lambda s, d: collapse(fastq_reads(s, d), PRIMER),
     "collapse_with_mask": lambda s, d: collapse_with_mask(fastq_reads(s, d), MASK[:PRIMER]),
-    "reverse_complement": _Q(reverse_complement(F.col("seq")).alias("rc")),
+    "reverse_complement": _Q(lambda: [reverse_complement(F.col("seq")).alias("rc")]),
     "reverse_complement_read": lambda s, d: fastq_reads(s, d).select("read_id", S.reverse_complement_read(F.col("seq"), F.col("qual")).alias("r")).select("read_id", "r.seq", "r.qual"),
-    "string_edits": _Q(S.mask_range(F.col("seq"), 3, 9).alias("masked"), S.remove_base(F.col("seq"), 2).alias("removed"), S.insert_base(F.col("seq"), 2, "A").alias("inserted"), S.trim_to(F.col("seq"), 10).alias("trimmed")),
+    "string_edits": _Q(lambda: [S.mask_range(F.col("seq"), 3, 9).alias("masked"), S.remove_base(F.col("seq"), 2).alias("removed"), S.insert_base(F.col("seq"), 2, "A").alias("inserted"), S.trim_to(F.col("seq"), 10).alias("trimmed")]),
     "gap_helpers": lambda s, d: fasta_reads(s, d).filter("seq IS NOT NULL").select("read_id", S.drop_trailing_gaps(F.col("seq")).alias("seq"), S.count_gaps(F.col("seq")).alias("n_gaps")),
-    "longest_homopolymer": _Q(S.longest_homopolymer(F.upper("seq")).alias("longest")),
-    "quality_mask": _Q(S.quality_mask(F.col("seq"), F.col("qual"), 15).alias("seq")),
-    "colour_space": _Q(S.to_colours(F.col("seq")).alias("colours")),
-    "colour_space_back": _Q(S.from_colours(S.to_colours(F.col("seq"))).alias("seq")),
-    "codon_translation": _Q(S.translate_codons(F.col("seq")).alias("peptide")),
-    "peptide_differences": _Q(S.differences(S.translate_codons(F.col("seq")), S.translate_codons(reverse_complement(F.col("seq")))).alias("n")),
-    "iupac_mismatches": _Q(S.mask_differences(F.col("seq"), F.lit(MASK)).alias("n")),
-    "ambiguity_compare": _Q(S.compare_with_ambiguity(F.upper("seq"), F.lit("ACGTNNRYAC")).alias("order")),
-    "ambiguity_merge": _Q(S.merge_ambiguity(S.trim_to(F.upper("seq"), 10), F.lit("ACGTACGTAC")).alias("merged")),
+    "longest_homopolymer": _Q(lambda: [S.longest_homopolymer(F.upper("seq")).alias("longest")]),
+    "quality_mask": _Q(lambda: [S.quality_mask(F.col("seq"), F.col("qual"), 15).alias("seq")]),
+    "colour_space": _Q(lambda: [S.to_colours(F.col("seq")).alias("colours")]),
+    "colour_space_back": _Q(lambda: [S.from_colours(S.to_colours(F.col("seq"))).alias("seq")]),
+    "codon_translation": _Q(lambda: [S.translate_codons(F.col("seq")).alias("peptide")]),
+    "peptide_differences": _Q(lambda: [S.differences(S.translate_codons(F.col("seq")), S.translate_codons(reverse_complement(F.col("seq")))).alias("n")]),
+    "iupac_mismatches": _Q(lambda: [S.mask_differences(F.col("seq"), F.lit(MASK)).alias("n")]),
+    "ambiguity_compare": _Q(lambda: [S.compare_with_ambiguity(F.upper("seq"), F.lit("ACGTNNRYAC")).alias("order")]),
+    "ambiguity_merge": _Q(lambda: [S.merge_ambiguity(S.trim_to(F.upper("seq"), 10), F.lit("ACGTACGTAC")).alias("merged")]),
 }
 _UP = "upper(seq)"
 _N = {b: f"(length(seq) - length(replace({_UP}, '{b}', '')))" for b in "ACGT"}
