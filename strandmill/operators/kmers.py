@@ -35,9 +35,10 @@ def occurrences(reads: DataFrame, k: int, *keep: str, cut: int = 0, homopolymer:
     chunks = F.when(n >= 0, F.sequence(F.lit(0), n, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
     rows = masked_reads(reads, *keep, cut=cut, homopolymer=homopolymer).select(*keep, "m", explode(chunks).alias("c"))
     rows = rows.select(*keep, "c", F.substring(F.col("m"), F.col("c") + 1, F.lit(CHUNK + k - 1)).alias("m"))
-    rows = rows.select(*keep, "c", "m", explode(K.starts(F.col("m"), k)).alias("i"))
-    x = F.substring(F.col("m"), F.col("i"), F.lit(k))
-    rows = rows.select(*keep, (F.col("c") + F.col("i") - 1).alias("pos"), F.when(~F.contains(x, F.lit("N")), K.canonical(x)).alias("kmer"))
+    # The reverse complement of a k-mer is a substring of the chunk's, which is made once, below the explode.
+    rows = rows.withColumn("r", F.reverse(F.translate("m", "ACGT", "TGCA"))).select(*keep, "c", "m", "r", explode(K.starts(F.col("m"), k)).alias("i"))
+    x, y = F.substring(F.col("m"), F.col("i"), F.lit(k)), F.substring(F.col("r"), F.length("m") - F.col("i") - (k - 2), F.lit(k))
+    rows = rows.select(*keep, (F.col("c") + F.col("i") - 1).alias("pos"), F.when(~F.contains(x, F.lit("N")), F.least(x, y)).alias("kmer"))
     return rows if outer else rows.filter("kmer IS NOT NULL")
 
 
