@@ -288,10 +288,17 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents, copies included, as the result's columns demand."""
+    """All pairs of documents, copies included, as the result's columns demand.
+
+    An anchor, which is a run of overlapping equal k-mers, of the span's length settles a pair; only the chains of the
+    other pairs are aligned on the texts.
+    """
     docs = _docs(spark, sf_dir)
     classes = materialise(text_classes(docs), "classes")
-    pairs = shared_runs(docs, classes).select("a", "b").distinct()
+    chained, texts = _pairs(docs, classes)
+    chained = materialise(chained.withColumn("sure", F.exists("n", lambda n: n >= SPAN)), "chained")
+    doubtful = _aligned(chained.filter("NOT sure").drop("sure"), texts, passages=False).select("a", "b").distinct()
+    pairs = chained.filter("sure").select("a", "b").unionByName(doubtful)
     x, y = (classes.select(F.col("rep").alias(r), F.col("doc_id").alias(d)) for r, d in (("a", "x"), ("b", "y")))
     apart = pairs.join(x, "a").join(y, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
     copies = classes.filter("copies > 1").select("rep", "doc_id")
