@@ -424,7 +424,33 @@ deg AS (SELECT *, CAST(bit_count(edges & 15) AS INT) AS forward, CAST(bit_count(
 lk AS (SELECT kmer, src, base, substr(src, 2) || base AS dst FROM (SELECT kmer, CASE WHEN b < 4 THEN kmer ELSE reverse(translate(kmer, 'ACGT', 'TGCA')) END AS src, 'ACGT'[b % 4 + 1] AS base FROM g, range(8) t(b) WHERE (edges >> CAST(b AS INT)) & 1 = 1))
 """
 _KIND = "CASE WHEN forward > 1 AND reverse > 1 THEN 'X' WHEN forward > 1 THEN 'Yf' WHEN reverse > 1 THEN 'Yr' WHEN forward = 0 AND reverse = 0 THEN 'isolated' WHEN forward = 0 OR reverse = 0 THEN 'blunt' ELSE 'path' END AS kind"
+_RC = "reverse(translate({x}, 'ACGT', 'TGCA'))"
+_WALK_SQL = (
+    _GRAPH_SQL.replace("WITH", "WITH RECURSIVE", 1).replace("lk AS (", "lk AS MATERIALIZED (")
+    + f""", o AS MATERIALIZED (SELECT kmer AS node, coverage, forward AS outs, reverse AS ins FROM deg UNION ALL SELECT {_RC.format(x="kmer")}, coverage, reverse, forward FROM deg),
+single AS MATERIALIZED (SELECT src, dst FROM lk JOIN o a ON src = a.node AND a.outs = 1 JOIN o b ON dst = b.node AND b.ins = 1),
+hops AS MATERIALIZED (SELECT src, dst, coverage FROM single JOIN o ON dst = node),
+walk AS (SELECT node AS head, node AS tail, node AS seq, 1 AS n, coverage AS lo, coverage AS hi, coverage AS total FROM o ANTI JOIN single ON node = dst
+         UNION ALL SELECT head, dst, seq || right(dst, 1), n + 1, least(lo, coverage), greatest(hi, coverage), total + coverage FROM walk JOIN hops ON tail = src),
+uni AS MATERIALIZED (SELECT seq, CAST(n AS BIGINT) AS n_kmers, lo AS min_coverage, hi AS max_coverage, total / n AS avg_coverage, a.ins AS left_edges, b.outs AS right_edges, head, tail
+        FROM (SELECT * FROM walk ANTI JOIN single ON tail = src) JOIN o a ON head = a.node JOIN o b ON tail = b.node WHERE seq <= {_RC.format(x="seq")})
+"""
+)
+_SINGLETON = f"length(seq) < 100 AND ((left_edges = 0 AND right_edges = 0) OR (n_kmers = 1 AND (left_edges = 0 OR right_edges = 0)) OR avg_coverage < 2)"
+_REPETITIVE = f"left_edges > 1 AND right_edges > 1 AND (length(seq) < {2 * GRAPH_K} OR avg_coverage > 3 * (SELECT avg(coverage) FROM g))"
 SQL = {
+    "unitigs": _WALK_SQL + "SELECT n_kmers, min_coverage, max_coverage, left_edges, right_edges, seq FROM uni",
+    "contigs": _WALK_SQL + f"SELECT seq, n_kmers FROM uni WHERE NOT ({_SINGLETON}) AND NOT ({_REPETITIVE})",
+    "bubbles": _WALK_SQL + f""", both_ AS (SELECT seq, head, tail, avg_coverage FROM uni WHERE left_edges = 1 AND right_edges = 1 AND n_kmers <= {10 * GRAPH_K + 1}
+  UNION ALL SELECT {_RC.format(x="seq")}, {_RC.format(x="tail")}, {_RC.format(x="head")}, avg_coverage FROM uni WHERE left_edges = 1 AND right_edges = 1 AND n_kmers <= {10 * GRAPH_K + 1}),
+pl AS (SELECT i.src AS s, q.dst AS e, seq, avg_coverage FROM both_ JOIN lk i ON i.dst = head JOIN lk q ON q.src = tail),
+pr AS (SELECT a.s, a.e, a.seq AS x, b.seq AS y, a.avg_coverage AS cx, b.avg_coverage AS cy FROM pl a JOIN pl b ON a.s = b.s AND a.e = b.e AND a.seq < b.seq)
+SELECT s AS "start", e AS "end", x AS a_seq, cx AS a_coverage, y AS b_seq, cy AS b_coverage FROM pr
+WHERE (x, y, s) <= (least({_RC.format(x="x")}, {_RC.format(x="y")}), greatest({_RC.format(x="x")}, {_RC.format(x="y")}), {_RC.format(x="e")})""",
+    "spurious_links": _WALK_SQL + """SELECT DISTINCT ab.src, ab.dst FROM lk ab JOIN o a ON ab.src = a.node JOIN o b ON ab.dst = b.node JOIN lk ad ON ad.src = ab.src AND ad.dst <> ab.dst JOIN o d ON ad.dst = d.node
+JOIN lk cb ON cb.dst = ab.dst AND cb.src <> ab.src JOIN o c ON cb.src = c.node WHERE a.outs = 2 AND b.ins = 2 AND a.coverage >= 2 AND b.coverage >= 2 AND a.coverage - d.coverage = 1 AND b.coverage - c.coverage = 1""",
+    "paths_from": _WALK_SQL + """, top AS (SELECT kmer FROM g ORDER BY coverage DESC, kmer LIMIT 5),
+paths AS (SELECT kmer AS "start", kmer AS at_, kmer AS seq, 0 AS steps FROM top UNION ALL SELECT "start", dst, seq || base, steps + 1 FROM paths JOIN lk ON at_ = src SEMI JOIN o ON dst = node WHERE steps < 8) SELECT "start", seq, steps FROM paths""",
     "graph_nodes": _GRAPH_SQL + "SELECT * FROM g",
     "graph_links": _GRAPH_SQL + "SELECT src, dst FROM lk",
     "node_degrees": _GRAPH_SQL + f"SELECT kmer, forward, reverse, {_KIND} FROM deg",
