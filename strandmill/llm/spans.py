@@ -306,23 +306,31 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apart.unionByName(within)
 
 
-def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every document its stretches that also stand elsewhere, and the part of its text that they cover."""
-    docs = _docs(spark, sf_dir)
-    classes = materialise(text_classes(docs), "classes")
+def _covered_parts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(rep, start, end)``: the united stretches of each representative's text that also stand in another one's."""
     runs = shared_runs(docs, classes).select(F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")).alias("rep"), "start", "end")
     longest = runs.groupBy("rep", "start").agg(F.max("end").alias("end"))  # at most one row for each position of a text
     w = Window.partitionBy("rep").orderBy("start")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = longest.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("i", F.sum("new").over(w)).groupBy("rep", "i").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    per = islands.groupBy("rep").agg(F.sum(F.col("end") - F.col("start")).alias("chars"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    known = classes.join(per, "rep", "left").select("doc_id", "copies", "chars", "spans")
-    size = F.coalesce(F.length("text"), F.lit(0))
-    copied = F.coalesce(F.col("copies") > 1, F.lit(False))
-    whole = F.array(F.struct(F.lit(0).alias("start"), size.alias("end")))
-    chars = F.when(copied, size).otherwise(F.coalesce("chars", F.lit(0))).cast("bigint")
-    spans = F.when(copied, whole).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
-    return docs.join(known, "doc_id", "left").select("doc_id", size.alias("n_chars"), chars.alias("shared_chars"), F.when(size > 0, chars / size).otherwise(0.0).alias("shared_part"), spans.alias("spans"))
+    islands = longest.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("i", F.sum("new").over(w))
+    return islands.groupBy("rep", "i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("i")
+
+
+def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document its stretches, from 0 and with exclusive ends, that also stand elsewhere; all of a text that has copies."""
+    docs = _docs(spark, sf_dir)
+    classes = materialise(text_classes(docs), "classes")
+    copied = classes.filter("copies > 1").select("doc_id").join(docs, "doc_id").select("doc_id", F.lit(0).alias("start"), F.length("text").alias("end"))
+    single = classes.filter("copies = 1").join(_covered_parts(docs, classes), "rep").select("doc_id", "start", "end")
+    return single.unionByName(copied)
+
+
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document how much of its text also stands elsewhere, in how many stretches."""
+    docs = _docs(spark, sf_dir)
+    per = p10_spans(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("chars"), F.count("*").alias("n"))
+    size, chars = F.coalesce(F.length("text"), F.lit(0)), F.coalesce("chars", F.lit(0))
+    return docs.select("doc_id", size.alias("n_chars")).join(per, "doc_id", "left").select("doc_id", "n_chars", chars.alias("shared_chars"), F.when(F.col("n_chars") > 0, chars / F.col("n_chars")).otherwise(0.0).alias("shared_part"), F.coalesce("n", F.lit(0)).alias("n_spans"))
 
 
 def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,5 +340,16 @@ def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("likeness", F.col("n_equal") / F.greatest(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start")))
 
 
-SQL: dict[str, str] = {}
-QUERIES = {"p10_found": p10_found, "p10_shared": p10_shared, "p10_passages": p10_passages}
+_GRAMS_SQL = """WITH g AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS w FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+h AS (SELECT DISTINCT doc_id, w FROM g)"""
+_SPANS_SQL = _GRAMS_SQL + """, m AS (SELECT w FROM h GROUP BY w HAVING count(*) > 1),
+s AS (SELECT doc_id, i, CAST(i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 200 AS INT) AS new FROM g SEMI JOIN m USING (w)),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s),
+spans AS (SELECT doc_id, CAST(min(i) - 1 AS INT) AS "start", CAST(max(i) + 199 AS INT) AS "end" FROM n GROUP BY doc_id, k)
+"""
+SQL = {
+    "p10_found": _GRAMS_SQL + "SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM h a JOIN h b ON a.w = b.w AND a.doc_id < b.doc_id",
+    "p10_spans": _SPANS_SQL + "SELECT * FROM spans",
+    "p10_shared": _SPANS_SQL + ", p AS (SELECT doc_id, CAST(sum(\"end\" - \"start\") AS BIGINT) AS c, count(*) AS n FROM spans GROUP BY doc_id) SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(c, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) ELSE 0 END AS shared_part, coalesce(n, 0) AS n_spans FROM documents LEFT JOIN p USING (doc_id)",
+}
+QUERIES = {"p10_found": p10_found, "p10_spans": p10_spans, "p10_shared": p10_shared, "p10_passages": p10_passages}
