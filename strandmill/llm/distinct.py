@@ -94,12 +94,12 @@ def _unite(key: tuple, cells: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
 def set_counts(bitmaps: DataFrame, sets: DataFrame, bits: int, parts: int = 16) -> DataFrame:
     """``(set_id, distinct, distinct_0, distinct_1)`` estimates for each set ``(set_id, members, from_day, to_day)``, days as integers.
 
-    ``bitmaps`` has cells ``(day, dump_id, colour)``. Sets and bitmaps meet part by part of the bitmaps, in blocks of sets.
+    ``bitmaps`` has cells ``(day, dump_id, colour)``; one without a day or dump is in no set. Sets and bitmaps meet part by part of the bitmaps, in blocks of sets.
     """
     parts = min(parts, bits // PIECE)
     blocks = max(1, math.ceil(sets.count() / 20000))
     part = F.pmod(F.col("piece"), F.lit(parts)).alias("part")
-    left = bitmaps.select("*", part, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    left = bitmaps.filter("dump_id IS NOT NULL AND day IS NOT NULL").select("*", part, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = sets.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("set_id"), F.lit(blocks)).cast("int").alias("block"))
     ones = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(_unite, "set_id bigint, ones bigint, ones_0 bigint, ones_1 bigint")
     total = ones.groupBy("set_id").agg(*[F.sum(c).alias(c) for c in ("ones", "ones_0", "ones_1")])

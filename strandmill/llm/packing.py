@@ -53,9 +53,12 @@ def pack_items(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
 
     Every item is packed once for each kind of container. One of more tokens than the capacity fills containers of its own
     and only its rest, part ``n_tokens // capacity``, shares one. An item without tokens gets a null ``container_no``.
-    Among items of one length the doc_id decides; doc_ids must be unique. The capacities are parameters, few of them.
+    Among items of one length the doc_id decides; doc_ids must be unique. The capacities are parameters, few of them; without any
+    there is nothing to pack into.
     """
     spark, names = items.sparkSession, list(capacities)
+    if not names:
+        return spark.createDataFrame([], "container string, container_no bigint, doc_id bigint, part_no int, start_token bigint, n_tokens bigint, at bigint")
     if any(c is None or c < 1 for c in capacities.values()):
         raise ValueError("capacities must be positive")
     kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(capacities[n]).cast("bigint").alias("capacity")) for i, n in enumerate(names)])
@@ -108,7 +111,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each kind of container how many there are and what share of their room is used."""
     caps = _capacities(spark, sf_dir)
-    room = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("container"))
+    room = F.coalesce(*[F.when(F.col("container") == n, F.lit(c)) for n, c in caps.items()], F.lit(None).cast("int"))
     per = p8_containers(spark, sf_dir).filter("container_no IS NOT NULL").groupBy("container", "container_no").agg(F.sum("n_tokens").alias("t"))
     return per.groupBy("container").agg(F.count("*").alias("n_containers"), F.sum("t").alias("n_tokens"), F.max(F.col("t") - room).alias("most_over")).withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * room))
 
