@@ -217,6 +217,49 @@ def bubbles(nodes: DataFrame, k: int, most: int) -> DataFrame:
     return pairs.filter(F.struct(F.col("a_seq"), F.col("b_seq"), F.col("start")) <= other)
 
 
+def find_bubbles(nodes: DataFrame, k: int, unitigs_deep: int = 3) -> DataFrame:
+    """``(start, end, a_seq, b_seq, kind)``: two paths of up to ``unitigs_deep`` unitigs from a branch that first meet again at one oriented node.
+
+    Paths begin at every oriented node with several ways out and go on from unitig to unitig, so a level crosses a whole
+    unbranched path. Of the places where two paths with different first bases meet, the nearest counts. ``kind`` is ``X`` where the
+    branch has several ways on its other side too, else ``f`` or ``r`` by its orientation. Only bubbles whose smaller path
+    comes first are listed; each is found from both ends, as the walk may start at either.
+    """
+    m = materialise(unitig_members(nodes), "members")
+    tails = m.groupBy("head").agg(F.max_by("node", "dist").alias("tail"), F.sort_array(F.collect_list(F.struct("dist", F.right("node", F.lit(1)).alias("b")))).alias("p"))
+    body = tails.select(F.col("head").alias("at"), "tail", F.array_join(F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda x: x["b"]), "").alias("more"))
+    ways = links(nodes).join(nodes.select(F.col("kmer").alias("dst_kmer")), "dst_kmer", "left_semi").select("src", "dst", "base")
+    o = _oriented(nodes)
+    branch = o.filter("outs > 1").select(F.col("node").alias("start"), F.when(F.col("ins") > 1, "X").when(F.col("node") == F.col("kmer"), "f").otherwise("r").alias("kind"))
+    front = branch.join(ways.withColumnRenamed("src", "start"), "start").select("start", "kind", F.col("base").alias("first"), F.col("dst").alias("at"), "base", F.lit(1).alias("depth")).withColumn("seq", F.col("base"))
+    reached = front.select("start", "kind", "first", "at", "seq")
+    for _ in range(unitigs_deep):
+        front = front.join(body, "at").select("start", "kind", "first", F.col("tail").alias("src"), F.concat("seq", "more").alias("seq")).join(ways, "src").select("start", "kind", "first", F.col("dst").alias("at"), F.concat("seq", "base").alias("seq"))
+        reached = reached.unionByName(front)
+    reached = materialise(reached.filter("at <> start"), "reached")
+    side = lambda x: reached.select("start", "kind", "at", F.col("first").alias(f"{x}_first"), F.col("seq").alias(f"{x}_seq"))
+    met = side("a").join(side("b"), ["start", "kind", "at"]).filter("a_first < b_first")
+    nearest = F.row_number().over(Window.partitionBy("start", "a_first", "b_first").orderBy(F.length("a_seq") + F.length("b_seq"), "a_seq", "b_seq", "at"))
+    return met.withColumn("_n", nearest).filter("_n = 1").select("start", F.col("at").alias("end"), F.concat("start", "a_seq").alias("a_seq"), F.concat("start", "b_seq").alias("b_seq"), "kind")
+
+
+def bubble_text(found: DataFrame) -> DataFrame:
+    """``value``: the paths of bubbles as FASTA, bases that differ between the two in lower case where both are equally long."""
+    n = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("start"), F.lit(64))).orderBy("start", "end", "a_seq"))
+    numbered = found.withColumns({"g": F.pmod(F.xxhash64("start"), F.lit(64)), "i": n})
+    marked = lambda x, y: F.when(F.length(x) == F.length(y), F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.when(F.substring(F.col(x), i, F.lit(1)) == F.substring(F.col(y), i, F.lit(1)), F.substring(F.col(x), i, F.lit(1))).otherwise(F.lower(F.substring(F.col(x), i, F.lit(1))))), "")).otherwise(F.col(x))
+    entry = lambda p, x, y: F.concat(F.format_string(f">match_%d_%d_path_{p}\n", "g", "i"), marked(x, y))
+    return numbered.select(F.explode(F.array(entry(0, "a_seq", "b_seq"), entry(1, "b_seq", "a_seq"))).alias("value"))
+
+
+def bubble_colours(found: DataFrame, kmer_set: DataFrame, k: int) -> DataFrame:
+    """``(start, end, seq, colour, mean_coverage)`` of each path by colour, over its inner k-mers; absent ones count 0 once the colour occurs."""
+    paths = found.select("start", "end", F.explode(F.array("a_seq", "b_seq")).alias("seq"))
+    inner = paths.filter(F.length("seq") >= k + 2).select("start", "end", "seq", F.explode(F.transform(F.sequence(F.lit(2), F.length("seq") - k), lambda i: K.canonical(F.substring(F.col("seq"), i, F.lit(k))))).alias("kmer"))
+    hits = inner.join(kmer_set.select("kmer", "colour", "coverage"), "kmer").groupBy("start", "end", "seq", "colour").agg(F.sum("coverage").alias("c"))
+    return hits.select("start", "end", "seq", "colour", (F.col("c") / (F.length("seq") - k - 1)).alias("mean_coverage"))
+
+
 def remove_bubbles(nodes: DataFrame, k: int, most: int | None = None) -> DataFrame:
     """Of the branches of each bubble all but the one of the highest coverage go; of equal ones the smaller sequence stays."""
     found = bubbles(nodes, k, 10 * k + 1 if most is None else most)
@@ -351,9 +394,9 @@ def pair_links(first: DataFrame, second: DataFrame, members: DataFrame, k: int)
 
 
 def pair_signatures(reads: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """``(kmer, pairs, bits)``: the pairs that a node occurs in, exactly, and as 64 bits by their number."""
+    """``(kmer, pairs, bits)``: the pairs that a node occurs in, exactly, and as 63 bits by their number."""
     found = occurrences(reads, k, "read_id").join(nodes.select("kmer"), "kmer", "left_semi")
-    bit = F.expr("bigint(1) << int(pmod(read_id, 64))")
+    bit = F.expr("bigint(1) << int(pmod(read_id, 63))")
     return found.groupBy("kmer").agg(F.sort_array(F.collect_set("read_id")).alias("pairs"), F.bit_or(bit).alias("bits"))
 
 
@@ -394,6 +437,12 @@ def _starts(s: SparkSession, d: str) -> DataFrame:
     return _graph(s, d).orderBy(F.desc("coverage"), "kmer").limit(5).select("kmer", F.col("kmer").alias("node"))
 
 
+def _halves(s: SparkSession, d: str, first: bool) -> DataFrame:
+    """The two ends of each read as mates of a pair."""
+    half = F.col("seq").substr(F.lit(1), F.lit(40)) if first else F.right("seq", F.lit(40))
+    return fastq_reads(s, d).select("read_id", half.alias("seq"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_nodes": lambda s, d: build_graph(fastq_reads(s, d), GRAPH_K),
     "graph_links": lambda s, d: links(_graph(s, d)).select("src", "dst"),
@@ -407,6 +456,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "low_paths_removed": lambda s, d: remove_low_paths(_graph(s, d), GRAPH_K, 1),
     "bubbles": lambda s, d: bubbles(_graph(s, d), GRAPH_K, 10 * GRAPH_K + 1),
     "bubbles_removed": lambda s, d: remove_bubbles(_graph(s, d), GRAPH_K),
+    "bubble_paths": lambda s, d: find_bubbles(_graph(s, d), GRAPH_K),
+    "bubble_fasta": lambda s, d: bubble_text(find_bubbles(_graph(s, d), GRAPH_K)),
+    "bubble_colours": lambda s, d: (lambda g: bubble_colours(find_bubbles(g, GRAPH_K), g.withColumn("colour", F.lit(0)), GRAPH_K))(_graph(s, d)),
+    "pair_links": lambda s, d: (lambda g: pair_links(_halves(s, d, True), _halves(s, d, False), unitig_members(g), GRAPH_K))(_graph(s, d)),
+    "pair_signatures": lambda s, d: pair_signatures(fastq_reads(s, d), _graph(s, d), GRAPH_K).select("kmer", "bits", F.size("pairs").alias("n_pairs")),
     "spurious_links": lambda s, d: spurious_links(_graph(s, d), 2, 1),
     "connected_components": lambda s, d: components(_graph(s, d)).groupBy("component").agg(F.count("*").alias("size")),
     "component_consensus": lambda s, d: (lambda g: consensus(g, components(g), 50))(_graph(s, d)),
@@ -439,6 +493,7 @@ uni AS MATERIALIZED (SELECT seq, CAST(n AS BIGINT) AS n_kmers, lo AS min_coverag
 _SINGLETON = f"length(seq) < 100 AND ((left_edges = 0 AND right_edges = 0) OR (n_kmers = 1 AND (left_edges = 0 OR right_edges = 0)) OR avg_coverage < 2)"
 _REPETITIVE = f"left_edges > 1 AND right_edges > 1 AND (length(seq) < {2 * GRAPH_K} OR avg_coverage > 3 * (SELECT avg(coverage) FROM g))"
 SQL = {
+    "pair_signatures": _GRAPH_SQL + "SELECT kmer, bit_or(CAST(1 AS BIGINT) << CAST(read_id % 63 AS INT)) AS bits, count(DISTINCT read_id) AS n_pairs FROM rk GROUP BY kmer",
     "unitigs": _WALK_SQL + "SELECT n_kmers, min_coverage, max_coverage, left_edges, right_edges, seq FROM uni",
     "contigs": _WALK_SQL + f"SELECT seq, n_kmers FROM uni WHERE NOT ({_SINGLETON}) AND NOT ({_REPETITIVE})",
     "bubbles": _WALK_SQL + f""", both_ AS (SELECT seq, head, tail, avg_coverage FROM uni WHERE left_edges = 1 AND right_edges = 1 AND n_kmers <= {10 * GRAPH_K + 1}

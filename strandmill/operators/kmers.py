@@ -165,6 +165,11 @@ def colour_statistics(both: DataFrame) -> DataFrame:
     )
 
 
+def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The columns of two one-row tables in one row."""
+    return a.withColumn("_row", F.lit(1)).join(b.withColumn("_row", F.lit(1)), "_row").drop("_row")
+
+
 def _percent(part: Column, whole: Column) -> Column:
     """In single precision, as the report's figures are; null where the whole is 0."""
     return F.when(whole > 0, ((F.lit(100).cast("float") * part.cast("float")).cast("float") / whole.cast("float")).cast("float").cast("double"))
@@ -175,7 +180,7 @@ def contamination_report(both: DataFrame, reference: str, sample: str, k: int, r
 
     ``sample_kmers`` counts k-mers of the reference seen in the sample; the number of all k-mers of the sample is an extra column.
     """
-    row = colour_statistics(both).crossJoin(reads)  # one row each
+    row = beside(colour_statistics(both), reads)
     ref = reference_reads if isinstance(reference_reads, Column) else F.lit(reference_reads)
     return row.select(
         F.lit(reference).alias("reference"), F.lit(sample).alias("sample"), ref.cast("bigint").alias("reference_reads"), "sample_reads", F.lit(k).alias("kmer_size"), "reference_kmers", "reference_coverage", "sample_kmers", "sample_coverage",
@@ -187,7 +192,7 @@ def contamination_report(both: DataFrame, reference: str, sample: str, k: int, r
 def read_totals(reads: DataFrame, hits: DataFrame) -> DataFrame:
     """One row: reads, bases, reads without a good k-mer, reads with a hit."""
     bases = reads.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("n_bases"))
-    return hits.agg(F.count("*").alias("n_reads"), F.count_if(F.col("n_kmers") == 0).alias("bad_reads"), F.count_if(F.col("hits") > 0).alias("contaminated_reads")).crossJoin(bases)
+    return beside(hits.agg(F.count("*").alias("n_reads"), F.count_if(F.col("n_kmers") == 0).alias("bad_reads"), F.count_if(F.col("hits") > 0).alias("contaminated_reads")), bases)
 
 
 def set_summary(kmer_set: DataFrame) -> DataFrame:
@@ -259,7 +264,7 @@ def _report(s: SparkSession, d: str) -> DataFrame:
     hits = _hits(s, d).agg(F.count("*").alias("sample_reads"), F.count_if(F.col("hits") > 0).alias("contaminated_reads"))
     n = fasta_reads(s, d).agg(F.count("*").alias("reference_reads"))
     both = update_coverage(reference, count_kmers(reads, SCREEN_K))
-    return contamination_report(both, "reads_fasta", "reads_fastq", SCREEN_K, F.col("reference_reads"), hits.crossJoin(n))
+    return contamination_report(both, "reads_fasta", "reads_fastq", SCREEN_K, F.col("reference_reads"), beside(hits, n))
 
 
 def _dump_report(s: SparkSession, d: str) -> DataFrame:

@@ -51,7 +51,7 @@ def contamination(spark: SparkSession, reference: str, sample: str, fmt: str, ou
         own, hits = M.count_kmers(reads, k, cut), materialise(M.hits_per_read(reads, ref, k, cut), "hits")
         heads = hits.agg(F.count("*").alias("sample_reads"), F.count_if(F.col("hits") > 0).alias("contaminated_reads"))
     total = own.agg(F.count("*").alias("sample_kmers_total"))
-    report = M.contamination_report(M.update_coverage(ref, own), reference, sample, k, ref_reads, heads.crossJoin(total), F.col("sample_kmers_total"))
+    report = M.contamination_report(M.update_coverage(ref, own), reference, sample, k, ref_reads, M.beside(heads, total), F.col("sample_kmers_total"))
     if output:
         W.write_tsv(report, output)
     if histogram and hits is not None:

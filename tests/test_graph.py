@@ -104,6 +104,11 @@ def test_bubble_is_found_and_removed(spark):
     nodes = G.build_graph(reads_df(spark, seqs), 5)
     found = G.bubbles(nodes, 5, 51).collect()
     assert len(found) == 1
+    paths = G.find_bubbles(nodes, 5).collect()
+    assert {frozenset((r.a_seq, r.b_seq)) for r in paths} >= {frozenset((left[-5:] + x + right[:5] for x in "AC"))} and len(paths) == 2
+    assert G.bubble_text(G.find_bubbles(nodes, 5)).filter("value LIKE '%a%'").count() >= 1
+    means = {r.seq: r.mean_coverage for r in G.bubble_colours(G.find_bubbles(nodes, 5), nodes.withColumn("colour", F.lit(0)), 5).collect()}
+    assert sorted(means.values()) == [1.0, 1.0, 3.0, 3.0]
     alive = {r.kmer for r in G.remove_bubbles(nodes, 5).collect()}
     assert alive == {canon(s[i : i + 5]) for s in seqs[:1] for i in range(len(s) - 4)}
 
