@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandmill.llm.tokens import token_lengths
 from strandmill.runtime import materialise, prefix_sums, table
@@ -76,8 +76,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, targets = _mixture(spark, sf_dir)
     per = mixed.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("u"))
     got = per.groupBy("source").agg(F.sum("t").alias("n_tokens"), F.count("*").alias("n_docs"), F.max("u").alias("most_uses"))
-    everything = got.agg(F.sum("n_tokens").alias("all_tokens"))
-    out = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").join(got, "source", "left").crossJoin(F.broadcast(everything))
+    out = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").join(got, "source", "left").withColumn("all_tokens", F.sum("n_tokens").over(Window.partitionBy()))  # one row a target
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return out.select("source", "target_share", "max_repeats", zero("n_tokens"), zero("n_docs"), zero("most_uses"), F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
 

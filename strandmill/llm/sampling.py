@@ -78,10 +78,11 @@ def fixed_size_samples(records: DataFrame, jobs: DataFrame) -> DataFrame:
     known = records.sparkSession.createDataFrame([tuple(r) for r in rows], wanted.schema)
     distinct = records.filter("record_id IS NOT NULL").groupBy("record_id").agg(F.min("part").alias("part"))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("record_id").cast("string"))), 1, DRAW_BITS // 4), 16, 10).cast("bigint")
-    every = known.filter("_part IS NULL")
-    some = known.filter("_part IS NOT NULL")
     pick = lambda j: j.select(F.col("job_id").cast("bigint"), draw.alias("draw"), "record_id")
-    drawn = pick(distinct.join(F.broadcast(some), F.col("part") == F.col("_part"))).unionByName(pick(distinct.crossJoin(F.broadcast(every)))) if any(r._part is None for r in rows) else pick(distinct.join(F.broadcast(some), F.col("part") == F.col("_part")))
+    drawn = pick(distinct.join(F.broadcast(known.filter("_part IS NOT NULL")), F.col("part") == F.col("_part")))
+    if every := [r for r in rows if r._part is None]:
+        each = F.explode(F.array(*[F.struct(F.lit(r.job_id).alias("job_id"), F.lit(r.seed).alias("seed")) for r in every]))
+        drawn = drawn.unionByName(pick(distinct.select("record_id", each.alias("j")).select("record_id", "j.*")))
     kept = materialise(drawn.mapInArrow(_thinning(sizes), "job_id bigint, draw bigint, record_id bigint, level int"), "drawn")
 
     sized = records.sparkSession.createDataFrame(list(sizes.items()), "job_id bigint, size bigint")
