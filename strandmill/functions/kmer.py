@@ -44,9 +44,8 @@ def mask(seq: Column, qual: Column | None = None, cut: int = 0) -> Column:
     clean = F.regexp_replace(F.upper(seq), "[^ACGT]", "N")
     if qual is None or cut <= 0:
         return clean
-    low = F.array_join(F.transform(qual, lambda q: F.when(q <= cut, F.lit("N")).otherwise(F.lit("."))), "", ".")
-    bases = F.transform(F.sequence(F.lit(1), F.length(clean)), lambda i: F.when(F.substring(low, i, 1) == "N", F.lit("N")).otherwise(F.substring(clean, i, 1)))
-    return F.when(F.coalesce(F.length(clean), F.lit(0)) == 0, clean).when(qual.isNull() | ~F.contains(low, F.lit("N")), clean).otherwise(F.array_join(bases, ""))
+    kept = F.transform(F.split(clean, ""), lambda c, i: F.when(F.get(qual, i) <= cut, F.lit("N")).otherwise(c))
+    return F.when(F.length(clean) > 0, F.when(qual.isNull(), clean).otherwise(F.array_join(kept, ""))).otherwise(clean)
 
 
 def break_homopolymers(masked: Column, cutoff: int) -> Column:

@@ -98,12 +98,9 @@ def from_colours(colours: Column) -> Column:
 
 def translate_codons(seq: Column, offset: int = 0) -> Column:
     """Peptide from ``offset`` on, ``*`` for a stop, ``X`` for a codon with another symbol than ACGT; U is T."""
-    s = F.translate(F.substring(F.upper(seq), F.lit(offset + 1), F.length(seq)), "U", "T")
-    n = F.floor(F.length(s) / 3).cast("int")
-    index = lambda c: F.when(c == "T", 0).when(c == "C", 1).when(c == "A", 2).when(c == "G", 3)
-    at = lambda i, j: index(F.substring(s, i * 3 + j, F.lit(1)))
-    amino = lambda i: F.coalesce(F.substring(F.lit(AMINO_ACIDS), at(i, 1) * 16 + at(i, 2) * 4 + at(i, 3) + 1, F.lit(1)), F.lit("X"))
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), amino), "")).otherwise(F.lit(""))
+    digits = F.translate(F.substring(F.upper(seq), F.lit(offset + 1), F.length(seq)), "TUCAG0123", "00123XXXX")
+    amino = lambda c: F.when(F.translate(c, "0123", "") == "", F.substring(F.lit(AMINO_ACIDS), F.conv(c, 4, 10).cast("int") + 1, F.lit(1))).otherwise(F.lit("X"))
+    return F.array_join(F.transform(F.regexp_extract_all(digits, F.lit("(?s)(...)"), 1), amino), "")
 
 
 def differences(a: Column, b: Column) -> Column:

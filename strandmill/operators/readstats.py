@@ -98,7 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "colour_space": _Q(lambda: [S.to_colours(F.col("seq")).alias("colours")]),
     "colour_space_back": _Q(lambda: [S.from_colours(S.to_colours(F.col("seq"))).alias("seq")]),
     "codon_translation": _Q(lambda: [S.translate_codons(F.col("seq")).alias("peptide")]),
-    "peptide_differences": _Q(lambda: [S.differences(S.translate_codons(F.col("seq")), S.translate_codons(reverse_complement(F.col("seq")))).alias("n")]),
+    "peptide_differences": lambda s, d: fastq_reads(s, d).select("read_id", S.translate_codons(F.col("seq")).alias("a"), S.translate_codons(reverse_complement(F.col("seq"))).alias("b")).select("read_id", S.differences(F.col("a"), F.col("b")).alias("n")),
     "iupac_mismatches": _Q(lambda: [S.mask_differences(F.col("seq"), F.lit(MASK)).alias("n")]),
     "ambiguity_compare": _Q(lambda: [S.compare_with_ambiguity(F.upper("seq"), F.lit("ACGTNNRYAC")).alias("order")]),
     "ambiguity_merge": _Q(lambda: [S.merge_ambiguity(S.trim_to(F.upper("seq"), 10), F.lit("ACGTACGTAC")).alias("merged")]),
