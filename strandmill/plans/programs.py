@@ -96,7 +96,7 @@ def assemble(spark: SparkSession, inputs: str | list[str], fmt: str, output: str
         nodes = G.clip_tips(nodes, k, tip_length)
     if bubbles:
         nodes = materialise(G.remove_bubbles(nodes, k), "graph")
-    if walk == "METACORTEX":
+    if walk == "COMPONENTS":
         found = G.consensus(nodes, G.components(nodes), least_component).select(F.xxhash64("component").alias("path_id"), "seq", F.lit(0.0).alias("avg_coverage"), F.lit(0).cast("bigint").alias("min_coverage"), F.lit(0).cast("bigint").alias("max_coverage"))
     elif walk == "PERFECT_PATH":
         found = G.contigs(nodes, k).select(F.xxhash64("head").alias("path_id"), "seq", "avg_coverage", "min_coverage", "max_coverage")
