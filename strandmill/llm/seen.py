@@ -30,7 +30,7 @@ def first_arrivals(stream: DataFrame, key: str, seq: str, checkpoint: str | None
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}  # one memory bound for all partitions of an executor
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
