@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from strandmill.functions import seq as S
 from strandmill.functions.kmer import reverse_complement
 from strandmill.operators.kmers import fastq_reads, occurrences
+from strandmill.runtime import materialise
 
 # Match, transition, transversion, gap, and the score of a symbol other than ACGT against another one, by rule.
 RULES = {"default": (2, -5, -7, -10, 2), "extreme": (1, -5, -7, -20, 2), "half_gap": (2, -5, -7, -5, -10), "simple": (2, -5, -5, -10, -5)}
@@ -250,20 +251,78 @@ def repair_under_mask(sequences: DataFrame, mask: str) -> DataFrame:
 # -- reads and references --------------------------------------------------------------------------------------------
 
 
+#: Reads of one task's group, references of a posting list and columns of a block of counts, at most or about.
+GROUP, POSTINGS, BLOCK = 256, 10_000, 1_024
+
+
+def _best_of_group(reads: list[np.ndarray], refs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Reads, and for each the other reference of the most k-mers and their number. Row i of the lists is one k-mer: who of the reads, who of the references hold it."""
+    read_ids, at = np.unique(np.concatenate(reads), return_inverse=True)
+    ref_ids, to = np.unique(np.concatenate(refs), return_inverse=True)
+    rows = np.repeat(np.arange(len(refs)), [len(x) for x in refs])
+    held = np.zeros((len(read_ids), len(reads)), np.float32)
+    held[at, np.repeat(np.arange(len(reads)), [len(x) for x in reads])] = 1
+    best, most = np.zeros(len(read_ids), np.int64), np.zeros(len(read_ids), np.int64)
+    for c in range(0, len(ref_ids), BLOCK):
+        ids, here = ref_ids[c : c + BLOCK], (to >= c) & (to < c + BLOCK)
+        has = np.zeros((len(refs), len(ids)), np.float32)
+        has[rows[here], to[here] - c] = 1
+        shared = held @ has
+        shared[read_ids[:, None] == ids[None, :]] = 0
+        first = shared.argmax(1)  # of equal ones the smallest id
+        top = shared[np.arange(len(read_ids)), first].astype(np.int64)
+        better = top > most
+        best[better], most[better] = ids[first[better]], top[better]
+    return read_ids[most > 0], best[most > 0], most[most > 0]
+
+
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(group, reads, refs)`` sorted by group, to one row a read."""
+
+    def made(reads: list[np.ndarray], refs: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _best_of_group(reads, refs)], names=["read_id", "ref_id", "shared"])
+
+    last, reads, refs = None, [], []
+    for b in batches:
+        lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in b.columns[1:]]
+        for i, group in enumerate(b.column(0).to_pylist()):
+            if group != last and reads:
+                yield made(reads, refs)
+                reads, refs = [], []
+            last = group
+            for into, (values, ends) in zip((reads, refs), lists):
+                into.append(values[ends[i] : ends[i + 1]])
+    if reads:
+        yield made(reads, refs)
+
+
 def best_reference(reads: DataFrame, references: DataFrame, k: int) -> DataFrame:
-    """``(read_id, ref_id, shared)``: for each read the other reference that shares the most k-mers with it, so pairs stay linear in the reads."""
-    own = occurrences(references.select(F.col("ref_id").alias("read_id"), "seq"), k, "read_id").select(F.col("read_id").alias("ref_id"), "kmer").distinct()
-    # K-mers of many references say little and would multiply; each k-mer stands for its first reference, with a tie to the smallest id.
-    first = own.groupBy("kmer").agg(F.min("ref_id").alias("ref_id"))
-    hits = occurrences(reads, k, "read_id").join(first, "kmer").filter("read_id <> ref_id").groupBy("read_id", "ref_id").agg(F.count("*").alias("shared"))
-    return hits.groupBy("read_id").agg(F.max_by("ref_id", F.struct("shared", -F.col("ref_id"))).alias("ref_id"), F.max("shared").alias("shared"))
+    """``(read_id, ref_id, shared)``: for each read the other reference that shares the most k-mers with it, of equal ones the smallest ref_id.
+
+    Distinct k-mers count, and all references of a k-mer. Pairs are counted, but never become rows: reads that have their smallest
+    hash in common overlap and form groups, and a group gets the posting list of each of its k-mers once. Large groups and
+    long lists are split. The counting grows with the pairs that share a k-mer, the shuffles with the lists by groups.
+    """
+    own = occurrences(references.select(F.col("ref_id").alias("read_id"), "seq"), k, "read_id").select(F.col("read_id").cast("bigint").alias("ref_id"), "kmer").distinct()
+    mine = materialise(occurrences(reads, k, "read_id").select(F.col("read_id").cast("bigint").alias("read_id"), "kmer").distinct(), "mine")
+    sizes = own.groupBy("kmer").agg(F.count("*").alias("n")).filter(F.col("n") > POSTINGS)
+    part = F.coalesce(F.pmod(F.xxhash64("ref_id"), F.ceil(F.col("n") / POSTINGS)), F.lit(0))
+    lists = own.join(sizes, "kmer", "left").groupBy("kmer", part.alias("part")).agg(F.collect_list("ref_id").alias("refs")).drop("part")
+    near = mine.groupBy("read_id").agg(F.min(F.xxhash64("kmer")).alias("h"))
+    many = near.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP)
+    salt = F.coalesce(F.pmod(F.xxhash64("read_id"), F.ceil(F.col("n") / GROUP)), F.lit(0))
+    groups = near.join(many, "h", "left").select("read_id", F.struct("h", salt.alias("salt")).alias("g"))
+    held = mine.join(groups, "read_id").groupBy("g", "kmer").agg(F.collect_list("read_id").alias("reads"))
+    alone = (F.size("reads") == 1) & (F.size("refs") == 1) & (F.get("reads", F.lit(0)) == F.get("refs", F.lit(0)))
+    rows = held.join(lists, "kmer").filter(~alone).select(F.concat_ws(":", "g.h", "g.salt").alias("g"), "reads", "refs")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_counting, "read_id bigint, ref_id bigint, shared bigint")
 
 
 ALIGN_K = 15
 
 
 def _references(s: SparkSession, d: str) -> DataFrame:
-    """Reads are each other's references: one that holds a k-mer stands for it if none of a smaller read_id does."""
+    """Reads are each other's references."""
     return fastq_reads(s, d).select(F.col("read_id").alias("ref_id"), F.upper("seq").alias("seq"))
 
 
@@ -271,14 +330,14 @@ def _placed(s: SparkSession, d: str) -> DataFrame:
     reads, refs = fastq_reads(s, d), _references(s, d)
     at = best_reference(reads, refs, ALIGN_K)
     pairs = at.join(refs.select("ref_id", F.col("seq").alias("ref_seq")), "ref_id").join(reads.select("read_id", "seq", "qual"), "read_id")
-    return pairs.select("read_id", "ref_id", "ref_seq", "seq", "qual")
+    return materialise(pairs.select("read_id", "ref_id", "ref_seq", "seq", "qual"), "placed")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "local_alignment": lambda s, d: align(_placed(s, d), "ref_seq", "seq", "read_id", "ref_id").withColumn("identity", identity()),
     "best_orientation": lambda s, d: align_best_of_four(_placed(s, d), "ref_seq", "seq", "read_id", "ref_id").select("read_id", "ref_id", "way", "score"),
     "alignment_scores": lambda s, d: align(_placed(s, d), "ref_seq", "seq", "read_id", "ref_seq").select("read_id", numt_score(F.length("ref_seq"), 0.8, 0.1).alias("numt"), chimera_score(F.length("ref_seq"), 0.3, 0.8).alias("chimera")),
-    "quality_consensus": lambda s, d: consensus_sequences(consensus(_references(s, d).join(_placed(s, d).select("ref_id"), "ref_id", "left_semi"), align(_placed(s, d), "ref_seq", "seq", "ref_id", "qual"), 10, 40, 4)),
+    "quality_consensus": lambda s, d: (lambda placed: consensus_sequences(consensus(_references(s, d).join(placed.select("ref_id"), "ref_id", "left_semi"), align(placed, "ref_seq", "seq", "ref_id", "qual"), 10, 40, 4)))(_placed(s, d)),
     "variants": lambda s, d: (lambda refs: variants(refs, consensus_sequences(consensus(refs, align(_placed(s, d), "ref_seq", "seq", "ref_id", "qual"), 10, 40)), 20))(_references(s, d)),
     "primer_masking": lambda s, d: mask_primers(fastq_reads(s, d).select(F.col("read_id").alias("id"), "seq"), {"left": "ACGTACGT", "right": "TTGACCGA"}, 8),
     "mask_repair": lambda s, d: repair_under_mask(fastq_reads(s, d).select(F.col("read_id").alias("id"), "seq"), "NNRYWSACGTNNNN"),

@@ -73,3 +73,20 @@ def test_masks_and_repairs(spark):
     out = {r.id: r.seq for r in A.mask_primers(df, {"p": "TTACGTACG"}, 10).collect()}
     assert out[1] == "N" * 9 + "TTTTTGGGGTTTT" and out[2] is None and out[3] == ""
     assert A.repair_under_mask(df, mask).count() == 3
+
+
+def test_best_reference_is_the_one_of_the_most_kmers(spark, monkeypatch):
+    rng, k = random.Random(3), 5
+    comp = str.maketrans("ACGT", "TGCA")
+    genome = "".join(rng.choice("ACGT") for _ in range(150)) + "A" * 20
+    seqs = [genome[i : i + rng.randrange(8, 40)] for i in (rng.randrange(150) for _ in range(60))] + [None, "ACG", "A" * 30, "GGNGG"]
+    seqs = [s.translate(comp)[::-1] if s and i % 3 == 0 and "N" not in s else s for i, s in enumerate(seqs)]
+    sets = {i: {min(x, x.translate(comp)[::-1]) for x in ((s or "")[j : j + k] for j in range(len(s or "") - k + 1)) if "N" not in x} for i, s in enumerate(seqs)}
+    want = {i: max((len(a & b), -j) for j, b in sets.items() if j != i) for i, a in sets.items()}
+    want = {i: (-j, n) for i, (n, j) in want.items() if n}
+    reads = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+    for sizes in ({}, {"GROUP": 3, "POSTINGS": 4, "BLOCK": 7}):
+        for name, n in sizes.items():
+            monkeypatch.setattr(A, name, n)
+        rows = A.best_reference(reads, reads.withColumnRenamed("read_id", "ref_id"), k).collect()
+        assert {r.read_id: (r.ref_id, r.shared) for r in rows} == want and len(rows) == len(want)
