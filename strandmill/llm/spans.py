@@ -196,6 +196,62 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _joined(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of positions at which two arrays are equal."""
+    order = np.argsort(y, kind="stable")
+    lo, hi = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+    i = np.repeat(np.arange(len(x)), hi - lo)
+    return i, order[np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[i]]
+
+
+def _left_maximal(ha: np.ndarray, hb: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places ``(x, y)`` of equal hashes that nothing equal stands before. Places are grouped by hash and character before
+    them, so that the inside of repeats makes no pairs."""
+
+    def grouped(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        before = np.r_[np.int64(-1), c[: len(h) - 1].astype(np.int64)]
+        order = np.lexsort((before, h))
+        hs, bs = h[order], before[order]
+        first = np.flatnonzero(np.r_[True, (hs[1:] != hs[:-1]) | (bs[1:] != bs[:-1])])
+        return order, first, np.r_[first[1:], len(order)], hs[first], bs[first]
+
+    oa, fa, la, xa, ba = grouped(ha, ca)
+    ob, fb, lb, xb, bb = grouped(hb, cb)
+    i, j = _joined(xa, xb)
+    differs = (ba[i] != bb[j]) | (ba[i] < 0)
+    for p, q in zip(i[differs].tolist(), j[differs].tolist()):
+        for x in oa[fa[p] : la[p]].tolist():
+            yield np.full(lb[q] - fb[q], x), ob[fb[q] : lb[q]]
+
+
+def _equal_run(ca: np.ndarray, cb: np.ndarray, x: int, y: int) -> int:
+    """How many characters from two places on are equal."""
+    n, step, most = 0, 256, min(len(ca) - x, len(cb) - y)
+    while n < most:
+        m = min(step, most - n)
+        if len(bad := np.flatnonzero(ca[x + n : x + n + m] != cb[y + n : y + n + m])):
+            return n + int(bad[0])
+        n, step = n + m, step * 2
+    return n
+
+
+def _all_anchors(ta: str, tb: str) -> tuple[list[int], list[int], list[int]]:
+    """Anchors as seeds make them, of all occurrences of all seeds: from the first to the last common seed of each equal run."""
+    k, ca, cb = SPAN - WINDOW + 1, _codes(ta), _codes(tb)
+    ha, hb = gram_hashes(ca, k), gram_hashes(cb, k)
+    sa, sb = np.zeros(len(ha), bool), np.zeros(len(hb), bool)
+    sa[seeds(ca, np.full(len(ca), len(ca)))[0]] = True
+    sb[seeds(cb, np.full(len(cb), len(cb)))[0]] = True
+    out = []
+    for xs, ys in _left_maximal(ha, hb, ca, cb):
+        for x, y in zip(xs.tolist(), ys.tolist()):
+            m = _equal_run(ca, cb, x, y) - k + 1
+            if m > 0 and len(at := np.flatnonzero(sa[x : x + m] & sb[y : y + m])):
+                out.append((y - x, x + int(at[0]), int(at[-1] - at[0]) + k))
+    out.sort()
+    return [x for _, x, _ in out], [x + d for d, x, _ in out], [n for *_, n in out]
+
+
 def _covered(hits: np.ndarray, span: int) -> list[tuple[int, int]]:
     """Intervals that the runs of ``span`` characters at the given starts cover."""
     if not len(hits):
@@ -215,6 +271,9 @@ def _aligning(passages: bool):
             for a, b, many, xs, ys, ns, chains, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(7)), batch.column(7), batch.column(8)):
                 ta, tb = ta.as_py(), tb.as_py()
                 grown = []
+                if passages and many:  # a seed repeats within a text, and the join has seen its first place only
+                    xs, ys, ns = _all_anchors(ta, tb)
+                    chains = chain(xs, ys, ns) if xs else []
                 for x, y, n, c in zip(xs, ys, ns, chains):
                     if not passages and many:
                         break
@@ -334,7 +393,10 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fuzzy passages: one row a chain, between class representatives; ``likeness`` is the exact part of the longer side."""
+    """Fuzzy passages: one row a chain, between class representatives; ``likeness`` is the exact part of the longer side.
+
+    The join knows the first place of a seed in a text; pairs with a seed that repeats get their anchors from the texts.
+    """
     docs = _docs(spark, sf_dir)
     got = _aligned(*_pairs(docs, materialise(text_classes(docs), "classes")), passages=True)
     return got.withColumn("likeness", F.col("n_equal") / F.greatest(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start")))

@@ -175,3 +175,41 @@ def test_chains_have_the_best_score():
         top = sorted((i for i in range(n) if number[i] == 0), key=lambda i: xs[i])
         score = sum(ms[i] for i in top) - spans.GAP_COST * sum(xs[j] - xs[i] - ms[i] + ys[j] - ys[i] - ms[i] for i, j in zip(top, top[1:]))
         assert abs(score - max(best)) < 1e-6 and sorted(set(number)) == list(range(max(number) + 1))
+
+
+def brute_passages(a, b):
+    """(a_start, a_end, b_start, b_end, n_anchors, n_equal) of all chains, from all pairs of places of all seeds."""
+    k = spans.SPAN - spans.WINDOW + 1
+    places = []
+    for t in (a, b):
+        grams = spans.gram_hashes(spans._codes(t), k).tolist()
+        low = [min(grams[i : i + spans.WINDOW]) for i in range(len(t) - spans.SPAN + 1)]
+        places.append([i for i, g in enumerate(grams) if g in low[max(0, i - spans.WINDOW + 1) : i + 1]])
+    anchors = []
+    for d, x in sorted((y - x, x) for x in places[0] for y in places[1] if a[x : x + k] == b[y : y + k]):
+        if anchors and anchors[-1][0] == d and x - anchors[-1][2] <= k:
+            anchors[-1][2] = x
+        else:
+            anchors.append([d, x, x])
+    by = defaultdict(list)
+    for (d, x, last), c in zip(anchors, spans.chain([x for _, x, _ in anchors], [x + d for d, x, _ in anchors], [z - x + k for _, x, z in anchors]) if anchors else []):
+        y, e = x + d, last + k
+        while x and y and a[x - 1] == b[y - 1]:
+            x, y = x - 1, y - 1
+        while e < len(a) and e + d < len(b) and a[e] == b[e + d]:
+            e += 1
+        by[c].append((x, e, y, e + d))
+    return sorted((min(x for x, *_ in g), max(e for _, e, *_ in g), min(g_[2] for g_ in g), max(g_[3] for g_ in g), len(g), len({i for x, e, *_ in g for i in range(x, e)})) for g in by.values())
+
+
+def test_passages_with_repeated_blocks(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    block, row, one = text(230), text(150), text(400)
+    docs = [block + text(50) + block + text(80) + block, text(30) + block + text(20) + block, row * 4, text(10) + row * 3 + text(99), one + text(100) + row * 2, text(60) + one, "x" * 420, "y" + "x" * 300, "ab" * 150]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = defaultdict(list)
+    for r in spans.p10_passages(spark, str(tmp_path)).collect():
+        got[r.a, r.b].append((r.a_start, r.a_end, r.b_start, r.b_end, r.n_anchors, r.n_equal))
+    want = {(i, j): x for i, a in enumerate(docs) for j, b in enumerate(docs) if i < j and (x := brute_passages(a, b))}
+    assert {p: sorted(x) for p, x in got.items()} == want and want[0, 1]
