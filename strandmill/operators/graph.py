@@ -463,7 +463,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pair_signatures": lambda s, d: pair_signatures(fastq_reads(s, d), _graph(s, d), GRAPH_K).select("kmer", "bits", F.size("pairs").alias("n_pairs")),
     "spurious_links": lambda s, d: spurious_links(_graph(s, d), 2, 1),
     "connected_components": lambda s, d: components(_graph(s, d)).groupBy("component").agg(F.count("*").alias("size")),
-    "component_consensus": lambda s, d: (lambda g: consensus(g, components(g), 50))(_graph(s, d)),
+    "component_consensus": lambda s, d: (lambda g: consensus(g, components(g)))(_graph(s, d)),
     "coverage_walks": lambda s, d: coverage_walks(_graph(s, d), _starts(s, d)),
     "neighbourhood": lambda s, d: neighbourhood(_graph(s, d), _starts(s, d)),
     "paths_from": lambda s, d: paths_from(_graph(s, d), _starts(s, d), 8),

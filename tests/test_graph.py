@@ -20,6 +20,18 @@ def reads_df(spark, seqs):
     return spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
 
 
+def query(spark, tmp_path, name, seqs):
+    """The rows of a query over a table of these reads."""
+    rows = [(i, 1, f"r{i}", x, None) for i, x in enumerate(seqs)]
+    spark.createDataFrame(rows, "read_id long, file_id int, name string, seq string, qual array<int>").write.mode("overwrite").parquet(str(tmp_path / "reads_fastq.parquet"))
+    return G.QUERIES[name](spark, str(tmp_path)).collect()
+
+
+def random_reads(seed, *sizes):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("ACGT") for _ in range(n)) for n in sizes]
+
+
 def brute(seqs, k):
     """Coverage of canonical k-mers, and the successors of every oriented k-mer."""
     cov, nxt = {}, {}
@@ -132,3 +144,9 @@ def test_empty_graph(spark):
     assert G.unitigs(nodes).count() == 0 and G.components(nodes).count() == 0 and G.links(nodes).count() == 0
     assert G.export_lines(nodes, "gml").count() == 0 and all(len(G.wrapping(s)) == 2 for s in ("dot", "gexf", "ubigraph"))
     assert G.pair_signatures(reads_df(spark, ["ACGTACC"]), G.build_graph(reads_df(spark, ["ACGTACC"]), 5), 5).filter(F.col("bits") == 1).count() == 3
+
+
+def test_every_part_has_a_consensus(spark, tmp_path):
+    seqs = random_reads(1, 15, 20, 63, 101)
+    rows = query(spark, tmp_path, "component_consensus", seqs)
+    assert sorted((canon(r.seq), r.size) for r in rows) == sorted((canon(x), len(x) - 14) for x in seqs)
