@@ -363,15 +363,18 @@ def consensus(nodes: DataFrame, parts: DataFrame, least: int = 1) -> DataFrame:
 
 
 def neighbourhood(nodes: DataFrame, starts: DataFrame, depth: int = 10, most: int = 200) -> DataFrame:
-    """``(kmer, depth)``: nodes up to ``depth`` steps around the start k-mers, the nearest ``most`` of them."""
+    """``(start, kmer, depth)``: nodes up to ``depth`` steps around each start k-mer, the nearest ``most`` of each."""
     ways = links(nodes).select("kmer", "dst_kmer").join(nodes.select(F.col("kmer").alias("dst_kmer")), "dst_kmer", "left_semi")
-    seen = materialise(nodes.join(starts.select("kmer"), "kmer", "left_semi").select("kmer", F.lit(0).alias("depth")), "near")
+    seen = materialise(nodes.join(starts.select("kmer"), "kmer", "left_semi").select(F.col("kmer").alias("start"), "kmer", F.lit(0).alias("depth")), "near")
     for d in range(1, depth + 1):
-        new = ways.join(seen.filter(F.col("depth") == d - 1).select("kmer"), "kmer", "left_semi").select(F.col("dst_kmer").alias("kmer")).distinct().join(seen, "kmer", "left_anti")
-        seen = materialise(seen.unionByName(new.select("kmer", F.lit(d).alias("depth"))), "near")
-        if seen.count() >= most:
+        short = seen.groupBy("start").agg(F.count("*").alias("n"), F.max("depth").alias("d")).filter((F.col("n") < most) & (F.col("d") == d - 1)).select("start")
+        front = seen.filter(F.col("depth") == d - 1).join(short, "start", "left_semi").select("start", "kmer")
+        new = materialise(front.join(ways, "kmer").select("start", F.col("dst_kmer").alias("kmer")).distinct().join(seen, ["start", "kmer"], "left_anti"), "new")
+        if new.isEmpty():
             break
-    return seen.orderBy("depth", "kmer").limit(most)
+        seen = materialise(seen.unionByName(new.select("start", "kmer", F.lit(d).alias("depth"))), "near")
+    nearest = F.row_number().over(Window.partitionBy("start").orderBy("depth", "kmer"))
+    return seen.withColumn("_n", nearest).filter(F.col("_n") <= most).drop("_n")
 
 
 def paths_from(nodes: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
@@ -432,9 +435,18 @@ def _graph(s: SparkSession, d: str, least: int = 0) -> DataFrame:
     return materialise(remove_low_coverage(g, least) if least else g, "graph")
 
 
-def _starts(s: SparkSession, d: str) -> DataFrame:
-    """The k-mers of the highest coverage, as oriented nodes."""
-    return _graph(s, d).orderBy(F.desc("coverage"), "kmer").limit(5).select("kmer", F.col("kmer").alias("node"))
+def _starts(nodes: DataFrame) -> DataFrame:
+    """The seed of every connected part, as an oriented node."""
+    return materialise(seeds(nodes, components(nodes)).select("kmer", F.col("kmer").alias("node")), "seeds")
+
+
+def _both_ways(starts: DataFrame) -> DataFrame:
+    return starts.select("kmer", F.explode(F.array("node", rc(F.col("node")))).alias("node")).distinct()
+
+
+def _top(nodes: DataFrame) -> DataFrame:
+    """The five k-mers of the highest coverage, as oriented nodes: where the SQL of ``paths_from`` starts."""
+    return nodes.orderBy(F.desc("coverage"), "kmer").limit(5).select("kmer", F.col("kmer").alias("node"))
 
 
 def _halves(s: SparkSession, d: str, first: bool) -> DataFrame:
@@ -464,9 +476,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spurious_links": lambda s, d: spurious_links(_graph(s, d), 2, 1),
     "connected_components": lambda s, d: components(_graph(s, d)).groupBy("component").agg(F.count("*").alias("size")),
     "component_consensus": lambda s, d: (lambda g: consensus(g, components(g)))(_graph(s, d)),
-    "coverage_walks": lambda s, d: coverage_walks(_graph(s, d), _starts(s, d)),
-    "neighbourhood": lambda s, d: neighbourhood(_graph(s, d), _starts(s, d)),
-    "paths_from": lambda s, d: paths_from(_graph(s, d), _starts(s, d), 8),
+    "coverage_walks": lambda s, d: (lambda g: coverage_walks(g, _both_ways(_starts(g))))(_graph(s, d)),
+    "neighbourhood": lambda s, d: (lambda g: neighbourhood(g, _starts(g)))(_graph(s, d)),
+    "paths_from": lambda s, d: (lambda g: paths_from(g, _top(g), 8))(_graph(s, d)),
     "graph_export": lambda s, d: export_lines(_graph(s, d), "dot").select("value"),
 }
 _MERS = f"{READS_SQL}, {kmers_sql('reads', GRAPH_K, 'rk')}, {kmers_sql('reads', GRAPH_K + 1, 'ek')}"

@@ -150,3 +150,24 @@ def test_every_part_has_a_consensus(spark, tmp_path):
     seqs = random_reads(1, 15, 20, 63, 101)
     rows = query(spark, tmp_path, "component_consensus", seqs)
     assert sorted((canon(r.seq), r.size) for r in rows) == sorted((canon(x), len(x) - 14) for x in seqs)
+
+
+def test_walks_and_neighbourhoods_of_every_part(spark, tmp_path):
+    seqs = random_reads(2, 30, 35, 40, 45, 50, 55, 60)
+    walks = query(spark, tmp_path, "coverage_walks", seqs)
+    assert {canon(r.node) for r in walks} == {canon(x[i : i + 15]) for x in seqs for i in range(len(x) - 14)}
+    assert {r.dist for r in walks if r.node == r.start} == {0} and len({canon(r.start) for r in walks}) == len(seqs)
+    near = query(spark, tmp_path, "neighbourhood", seqs)
+    assert len({r.start for r in near}) == len(seqs)
+    for x in seqs:
+        at = {canon(x[i : i + 15]): i for i in range(len(x) - 14)}
+        [start] = {r.start for r in near} & set(at)
+        assert {r.kmer: r.depth for r in near if r.start == start} == {m: abs(i - at[start]) for m, i in at.items() if abs(i - at[start]) <= 10}
+
+
+def test_each_start_has_its_own_limit(spark):
+    seqs = random_reads(3, 60, 60)
+    nodes = G.build_graph(reads_df(spark, seqs), 15)
+    starts = spark.createDataFrame([(canon(x[:15]),) for x in seqs], "kmer string")
+    near = G.neighbourhood(nodes, starts, depth=10, most=6).collect()
+    assert {(r.start, r.kmer, r.depth) for r in near} == {(canon(x[:15]), canon(x[i : i + 15]), i) for x in seqs for i in range(6)}
