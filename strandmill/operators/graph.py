@@ -450,8 +450,9 @@ def _top(nodes: DataFrame) -> DataFrame:
 
 
 def _halves(s: SparkSession, d: str, first: bool) -> DataFrame:
-    """The two ends of each read as mates of a pair."""
-    half = F.col("seq").substr(F.lit(1), F.lit(40)) if first else F.right("seq", F.lit(40))
+    """The two halves of each read as mates of a pair; they overlap by k-1 bases, so that each k-mer is in one of them."""
+    n = F.greatest(F.floor((F.length("seq") - (GRAPH_K - 2)) / 2).cast("int"), F.lit(0))  # k-mers of the first half
+    half = F.col("seq").substr(F.lit(1), n + (GRAPH_K - 1)) if first else F.col("seq").substr(n + 1, F.length("seq"))
     return fastq_reads(s, d).select("read_id", half.alias("seq"))
 
 

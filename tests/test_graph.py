@@ -171,3 +171,21 @@ def test_each_start_has_its_own_limit(spark):
     starts = spark.createDataFrame([(canon(x[:15]),) for x in seqs], "kmer string")
     near = G.neighbourhood(nodes, starts, depth=10, most=6).collect()
     assert {(r.start, r.kmer, r.depth) for r in near} == {(canon(x[:15]), canon(x[i : i + 15]), i) for x in seqs for i in range(6)}
+
+
+def test_pair_links_look_at_whole_reads(spark, tmp_path):
+    left, right, x, y = random_reads(4, 40, 40, 21, 21)
+    seqs = [left + x + right, left + y + right, left[:17], None, "A" * 14]
+    cov, nxt = brute(seqs, 15)
+    want, _ = brute_unitigs(cov, nxt)
+    unit = {canon(u[i : i + 15]): n for n, u in enumerate(want) for i in range(len(u) - 14)}
+    pairs = {}
+    for s in filter(None, seqs):
+        mers = [unit[canon(s[i : i + 15])] for i in range(len(s) - 14)]
+        h = (len(mers) + 1) // 2
+        for p in {(a, b) for a in mers[:h] for b in mers[h:] if a != b}:
+            pairs[p] = pairs.get(p, 0) + 1
+    rows = query(spark, tmp_path, "pair_links", seqs)
+    assert sorted(r.n for r in rows) == sorted(pairs.values()) and len({(r.a, r.b) for r in rows}) == len(pairs)
+    got = {u for r in rows for u in (r.a, r.b)}
+    assert len(got) == len({u for p in pairs for u in p})
