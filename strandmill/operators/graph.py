@@ -8,6 +8,7 @@ is logarithmic in the length of the longest path, and every round is a written t
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -178,7 +179,8 @@ def _path_kmers(chosen: DataFrame, k: int) -> DataFrame:
 def clip_tips(nodes: DataFrame, k: int, length: int, rounds: int = 100) -> DataFrame:
     """Drop paths of fewer than ``length`` k-mers that are blunt on one side and end in a branch on the other.
 
-    Of the tips at one junction all but the longest go in a round if every way into it is a tip. Rounds are synchronous and go on until nothing changes.
+    Of the tips at one junction all but the longest go in a round if every way into it is a tip. Rounds are synchronous and go on until nothing changes;
+    if the last of ``rounds`` still removes something, a warning says so.
     """
     for _ in range(rounds):
         u = materialise(unitigs(nodes), "unitigs")
@@ -194,6 +196,8 @@ def clip_tips(nodes: DataFrame, k: int, length: int, rounds: int = 100) -> DataF
         if gone.isEmpty():
             break
         nodes = materialise(remove_nodes(nodes, gone), "clipped")
+    else:
+        warnings.warn(f"clip_tips stopped after {rounds} rounds; tips may be left", stacklevel=2)
     return nodes
 
 
@@ -465,7 +469,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unitigs": lambda s, d: unitigs(_graph(s, d)).filter("NOT cyclic").select("n_kmers", "min_coverage", "max_coverage", "left_edges", "right_edges", "seq"),
     "unitig_stops": lambda s, d: stop_reasons(unitigs(_graph(s, d))),
     "contigs": lambda s, d: contigs(_graph(s, d), GRAPH_K).select("seq", "n_kmers"),
-    "clipped_tips": lambda s, d: clip_tips(_graph(s, d), GRAPH_K, 2 * GRAPH_K, rounds=2),
+    "clipped_tips": lambda s, d: clip_tips(_graph(s, d), GRAPH_K, 2 * GRAPH_K),
     "low_paths_removed": lambda s, d: remove_low_paths(_graph(s, d), GRAPH_K, 1),
     "bubbles": lambda s, d: bubbles(_graph(s, d), GRAPH_K, 10 * GRAPH_K + 1),
     "bubbles_removed": lambda s, d: remove_bubbles(_graph(s, d), GRAPH_K),

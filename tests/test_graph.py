@@ -189,3 +189,17 @@ def test_pair_links_look_at_whole_reads(spark, tmp_path):
     assert sorted(r.n for r in rows) == sorted(pairs.values()) and len({(r.a, r.b) for r in rows}) == len(pairs)
     got = {u for r in rows for u in (r.a, r.b)}
     assert len(got) == len({u for p in pairs for u in p})
+
+
+def test_nested_tips_go_in_as_many_rounds_as_they_need(spark, tmp_path):
+    rng, [main] = random.Random(5), random_reads(5, 200)
+    leaves = [main[80:100]]
+    for level in range(4):  # one branch off the main path that forks three times, five k-mers a level
+        taken = main[100] if level == 0 else ""
+        leaves = [x + c + "".join(rng.choice("ACGT") for _ in range(4)) for x in leaves for c in [y for y in "ACGT" if y != taken][: 1 if level == 0 else 2]]
+    seqs = [main] * 3 + leaves
+    nodes = G.build_graph(reads_df(spark, seqs), 15)
+    with pytest.warns(UserWarning, match="2 rounds"):
+        early = G.clip_tips(nodes, 15, 30, rounds=2).count()
+    rows = {r.kmer for r in query(spark, tmp_path, "clipped_tips", seqs)}
+    assert rows == {canon(main[i : i + 15]) for i in range(len(main) - 14)} and len(rows) < early
