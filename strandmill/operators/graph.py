@@ -466,7 +466,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "node_degrees": lambda s, d: degrees(_graph(s, d)),
     "branch_nodes": lambda s, d: degrees(_graph(s, d)).groupBy("kind").agg(F.count("*").alias("n")),
     "low_coverage_prune": lambda s, d: remove_low_coverage(_graph(s, d), 1),
-    "unitigs": lambda s, d: unitigs(_graph(s, d)).filter("NOT cyclic").select("n_kmers", "min_coverage", "max_coverage", "left_edges", "right_edges", "seq"),
+    "unitigs": lambda s, d: unitigs(_graph(s, d)).select("n_kmers", "min_coverage", "max_coverage", "left_edges", "right_edges", "seq"),
     "unitig_stops": lambda s, d: stop_reasons(unitigs(_graph(s, d))),
     "contigs": lambda s, d: contigs(_graph(s, d), GRAPH_K).select("seq", "n_kmers"),
     "clipped_tips": lambda s, d: clip_tips(_graph(s, d), GRAPH_K, 2 * GRAPH_K),

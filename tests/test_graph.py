@@ -203,3 +203,11 @@ def test_nested_tips_go_in_as_many_rounds_as_they_need(spark, tmp_path):
         early = G.clip_tips(nodes, 15, 30, rounds=2).count()
     rows = {r.kmer for r in query(spark, tmp_path, "clipped_tips", seqs)}
     assert rows == {canon(main[i : i + 15]) for i in range(len(main) - 14)} and len(rows) < early
+
+
+def test_the_query_returns_circles(spark, tmp_path):
+    [circle, line] = random_reads(6, 40, 50)
+    rows = query(spark, tmp_path, "unitigs", [circle + circle[:15], line])
+    assert sorted(r.n_kmers for r in rows) == [36, 40]
+    [found] = [r.seq for r in rows if r.n_kmers == 40]
+    assert {canon(found[i : i + 15]) for i in range(40)} == {canon((circle * 2)[i : i + 15]) for i in range(40)}
