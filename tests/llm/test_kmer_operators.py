@@ -171,23 +171,62 @@ def test_splitting_matches_greedy(spark):
     assert splitting.split_oversized(df.filter("false")).count() == 0
 
 
-def test_seen_before_and_resuming(spark, tmp_path):
-    rng = random.Random(7)
-    rows = [(i, rng.choice([None, 1, 1, 1, *range(50)])) for i in range(2000)]
-    schema = "seq_no long, key long"
-    for name, part in (("one", rows[:1200]), ("two", rows[1200:])):
-        spark.createDataFrame(part, schema).repartition(3).write.parquet(str(tmp_path / name))
+def first_numbers(rows):
     first = {}
     for s, k in rows:
-        if k is not None:
-            first.setdefault(k, s)
-    whole = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "*"))
-    assert {r.key: r.first_seq for r in seen.first_arrivals(whole, "key", "seq_no").collect()} == first
-    spark.createDataFrame(rows[:1200], schema).write.parquet(str(tmp_path / "now"))
-    state, stream = str(tmp_path / "state"), spark.readStream.schema(schema).parquet(str(tmp_path / "now"))
-    seen.first_arrivals(stream, "key", "seq_no", state)
-    spark.createDataFrame(rows[1200:], schema).write.mode("append").parquet(str(tmp_path / "now"))
-    later = {r.key: r.first_seq for r in seen.first_arrivals(stream, "key", "seq_no", state).collect()}
-    assert later == {k: s for k, s in first.items() if k in {k for _, k in rows[1200:]}}
+        if k is not None and s is not None:
+            first[k] = min(s, first.get(k, s))
+    return first
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_seen_before_over_batches_and_resuming(spark, tmp_path, monkeypatch, backwards):
+    monkeypatch.setattr(seen, "PACK", 16)
+    rng = random.Random(7)
+    rows = [(i, rng.choice([None, 1, 1, 1, *range(50)])) for i in range(2000)] + [(None, 3)]
+    schema = "seq_no long, key long"
+    told = lambda flags: {r.seq: r.seen_before for r in seen.settled(flags).collect()}
+    first = first_numbers(rows)
+    want = {s: s != first[k] for s, k in rows if k is not None and s is not None}
+    parts = [rows[:700], rows[700:1300], rows[1300:]]
+    now, stream = str(tmp_path / "now"), None
+    got, displaced = [], 0
+    for part in reversed(parts) if backwards else parts:  # three calls on one checkpoint
+        spark.createDataFrame(part, schema).withColumn("bucket", F.lit("clash")).coalesce(2).write.mode("append").parquet(now)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(now)
+        flags = seen.seen_before(stream, "key", "seq_no", 5, str(tmp_path / "state"))
+        got += seen.repeats(flags).collect()
+        displaced += flags.filter(F.col("kind") == seen.DISPLACED).count()
+    assert sorted(r.seq for r in got) == sorted(s for s, seen_ in want.items() if seen_)  # each repeat once
+    assert displaced > 0 or not backwards
+    with pytest.raises(ValueError, match="buckets"):
+        seen.seen_before(stream, "key", "seq_no", 6, str(tmp_path / "state"))
+    whole = seen.seen_before(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(now), "key", "seq_no", 3)
+    assert told(whole) == want and whole.filter(F.col("kind") != seen.DISPLACED).count() == len(want)
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none"))
-    assert seen.first_arrivals(spark.readStream.schema(schema).parquet(str(tmp_path / "none")), "key", "seq_no").count() == 0
+    assert seen.seen_before(spark.readStream.schema(schema).parquet(str(tmp_path / "none")), "key", "seq_no", 3).count() == 0
+
+
+def test_wrong_answers_are_counted(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, *range(20)])) for i in range(300)]
+    records = spark.createDataFrame(rows, "seq_no long, code long")
+    first = first_numbers(rows)
+    good = [(k, s, s != first[k]) for s, k in rows if k is not None]
+    rate = lambda flags: seen.error_rate(spark.createDataFrame(flags, "key long, seq long, seen_before boolean"), records, "code", "seq_no").first()
+    assert tuple(rate(good)) == (len(good), len(good) - 20, 0, 0.0)
+    last = {k: s for k, s, _ in good}
+    assert rate([(k, s, s != last[k]) for k, s, _ in good]).n_wrong == 40
+    assert rate([(k, s, True) for k, s, _ in good]).n_wrong == 20 and rate([(k, s, False) for k, s, _ in good]).n_wrong == len(good) - 20
+    assert rate(good[1:]).n_wrong >= 1 and rate([*good, (99, 7, False)]).n_wrong >= 1
+    lost = [(k, s, s != first[k]) for k, s, _ in good if k != 3]  # a key that the state lost altogether
+    assert rate(lost).n_wrong == sum(k == 3 for k, *_ in good)
+
+
+def test_a_state_that_forgets_gives_a_rate_above_zero(spark, tmp_path):
+    rows = [(i, i % 10) for i in range(100)]
+    for n, part in enumerate((rows[:50], rows[50:])):
+        spark.createDataFrame(part, "seq_no long, key long").coalesce(1).write.parquet(str(tmp_path / str(n)))
+    told = [seen.settled(seen.seen_before(spark.readStream.schema("seq_no long, key long").parquet(str(tmp_path / str(n))), "key", "seq_no", 2)) for n in (0, 1)]  # each with a state of its own
+    rate = seen.error_rate(told[0].unionByName(told[1]), spark.createDataFrame(rows, "seq_no long, key long"), "key", "seq_no").first()
+    assert rate.n_wrong == 10 and rate.wrong_rate == 0.1

@@ -9,7 +9,7 @@ from strandmill.operators.parse_lines import QUERIES as PARSE
 SOURCE = "/root/testdata/sf0.001"
 TABLES = ["kmers", "kmers_meta", "hash_table", "kmer_reader", "raw_reads", "reads_fastq", "subsampler", "reads_fasta", "documents", "mix_targets", "container_sizes"]
 ALL = PARSE | queries()
-CLASH = ["term", "record", "unit", "amount", "edge", "code", "piece", "bitmap", "draw", "level", "start", "end", "key", "first_seq", "n_tokens", "rank", "one", "seed", "doc", "a", "b", "many", "chain", "reason", "_line", "_pid", "_local"]
+CLASH = ["term", "record", "unit", "amount", "edge", "code", "piece", "bitmap", "draw", "level", "start", "end", "key", "first_seq", "n_tokens", "rank", "one", "bucket", "pack", "kind", "seq", "seed", "doc", "a", "b", "many", "chain", "reason", "_line", "_pid", "_local"]
 
 
 @pytest.fixture(scope="module")
