@@ -48,38 +48,62 @@ def test_term_frequencies(spark, kind):
     assert {(r.rare, r.common) for r in marked(term_frequencies(df, "t", "rec", "unit", "amount"), 4).filter("term = 5").collect()} == {(False, True)}
 
 
-def test_linear_counting_stays_within_its_error(spark):
+@pytest.mark.parametrize("level", [1 << 17, 1 << 15])
+def test_linear_counting_stays_within_its_error(spark, monkeypatch, level):
+    monkeypatch.setattr(distinct, "LEVEL", level)
     rng = random.Random(3)
-    rows = [(rng.randrange(3), rng.randrange(4), rng.choice([None, 0, 1]), rng.choice([None, 1, *range(20_000)])) for _ in range(30_000)]
+    rows = [(rng.randrange(3), rng.randrange(4), rng.choice([None, 0, 1]), rng.choice([None, 1, rng.randrange(1_000_000), rng.randrange(1_000_000)])) for _ in range(100_000)]
     df = spark.createDataFrame(rows, "day int, dump_id int, colour int, code long")
-    bits = distinct.bits_for(30_000)
-    cells = distinct.cell_bitmaps(df, ["day", "dump_id", "colour"], "code", bits)
+    levels = distinct.levels_for(100_000 if level > 1 << 15 else 1 << 20)
+    cells = distinct.cell_bitmaps(df, ["day", "dump_id", "colour"], "code", levels)
     for keys in (["day"], ["dump_id", "colour"], []):
         true = {tuple(r[k] for k in keys): r.n for r in df.groupBy(*keys).agg(F.countDistinct("code").alias("n")).collect()}
-        got = {tuple(r[k] for k in keys): (r.estimate, r.std_error) for r in distinct.merged_counts(cells, keys, bits).collect()}
+        got = {tuple(r[k] for k in keys): (r.estimate, r.std_error) for r in distinct.merged_counts(cells, keys, levels).collect()}
         assert true.keys() == got.keys()
         assert all(abs(e - true[k]) <= 6 * s + 1 for k, (e, s) in got.items())
-    assert distinct.relative_error(10_000_000, distinct.bits_for(10_000_000)) <= 0.005
+        assert all(abs(s / e - distinct.relative_error(e, levels)) < 0.001 for e, s in got.values())
 
 
-def test_deviating_reports_include_borderline_ones(spark):
+def test_errors_hold_at_every_size():
+    sizes = [10**x for x in range(1, 16)]
+    assert [distinct.levels_for(n) for n in (0, 1, 1 << 18, (1 << 18) + 1, 1 << 40)] == [1, 1, 1, 2, 23]
+    assert max(distinct.relative_error(n / d, distinct.levels_for(n)) for n in sizes for d in (1, 2, 3, 7, 1000)) <= 0.005
+    rng = np.random.default_rng(9)  # the estimator on random bits, at a size that needs many levels
+    n, levels = 300_000_000, distinct.levels_for(1 << 32)
+    share = [2.0 ** -(i + 1) for i in range(levels - 1)] + [2.0 ** -(levels - 1)]
+    got = []
+    for _ in range(20):
+        ones = [distinct.LEVEL - int(rng.binomial(distinct.LEVEL, np.exp(-rng.binomial(n, s) / distinct.LEVEL))) for s in share]
+        base = next(i for i in range(levels) if ones[i] <= distinct.LEVEL * -np.expm1(-distinct.LOAD))
+        got.append(2**base * sum(-distinct.LEVEL * np.log1p(-x / distinct.LEVEL) for x in ones[base:]))
+    assert np.std(np.array(got) / n - 1) < 2 * distinct.relative_error(n, levels) and abs(np.mean(got) / n - 1) < distinct.relative_error(n, levels)
+
+
+@pytest.mark.parametrize("planes, codes", [(1 << 26, 1 << 15), (1 << 14, 64)])
+def test_deviating_reports_include_borderline_ones(spark, monkeypatch, planes, codes):
+    monkeypatch.setattr(distinct, "PLANES", planes)
+    monkeypatch.setattr(distinct, "CODES", codes)
     rng = random.Random(4)
-    rows = [(rng.randrange(3), rng.randrange(4), rng.choice([None, 0, 1]), rng.randrange(3000)) for _ in range(6000)]
+    rows = [(rng.choice([None, *range(9)]), rng.choice([None, *range(4)]), rng.choice([None, 0, 1]), rng.randrange(3000)) for _ in range(6000)]
     df = spark.createDataFrame(rows, "day int, dump_id int, colour int, code long")
-    sets, off = [], set()
-    for i in range(120):
-        members, lo, hi = rng.choice([[], [0], [1, 1, 2], [0, 1, 2, 3], [9]]), rng.randrange(3), rng.randrange(3)
-        d = [len({c for day, dump, col, c in rows if dump in members and lo <= day <= hi and (x is None or col == x)}) for x in (None, 0, 1)]
+    sets, off, true = [], set(), {}
+    for i in range(150):
+        members, lo, hi = rng.choice([[], [0], [1, 1, 2], [0, 1, 2, 3], [9], [None, 2]]), rng.randrange(9), rng.randrange(9)
+        d = [len({c for day, dump, col, c in rows if dump is not None and day is not None and dump in members and lo <= day <= hi and (x is None or col == x)}) for x in (None, 0, 1)]
         r = [None if rng.random() < 0.2 else rng.choice([n, n + n // 10, n + n // 10 + 1, n - n // 10, n - n // 10 - 1, 2 * n, 0]) for n in d]
         sets.append((i, members, lo, hi, *r))
+        true[i] = d
         if any(x is not None and abs(x - n) * 10 > n for x, n in zip(r, d)):
             off.add(i)
-    bits = distinct.bits_for(6000)
-    cells = distinct.cell_bitmaps(df, ["day", "dump_id", "colour"], "code", bits)
+    cells = distinct.cell_bitmaps(df, ["day", "dump_id", "colour"], "code", 2)
     s = spark.createDataFrame(sets, "set_id long, members array<int>, from_day int, to_day int, r long, r_0 long, r_1 long")
-    got = distinct.deviating(df, cells, s, bits)
-    assert {r.set_id for r in got.filter("off").collect()} == off and got.count() == 120 and got.filter("checked").count() > 0
-    none = distinct.deviating(df.filter("false"), cells.filter("false"), s, bits)
+    got = distinct.deviating(df, cells, s, 2)
+    assert {r.set_id for r in got.filter("off").collect()} == off and got.count() == 150 and got.filter("checked").count() > 0
+    exact = {r.set_id: [r.distinct, r.distinct_0, r.distinct_1] for r in distinct.exact_counts(df, cells, s, 3000).collect()}
+    assert all(exact.get(i, [0, 0, 0]) == d for i, d in true.items())
+    estimates = {r.set_id: [r.distinct, r.distinct_0, r.distinct_1] for r in distinct.set_counts(cells, s, 2).collect()}
+    assert all(abs(x - y) <= 6 * distinct.relative_error(3000, 2) * y + 3 for i, d in true.items() for x, y in zip(estimates.get(i, [0, 0, 0]), d))
+    none = distinct.deviating(df.filter("false"), cells.filter("false"), s, 2)
     assert {r.set_id for r in none.filter("off").collect()} == {x[0] for x in sets if any(r for r in x[4:] if r)}
 
 
