@@ -2,9 +2,10 @@
 
 Collinear chaining. Of every text some k-mers are seeds: the smallest hashes of all windows of 64 consecutive k-mers, with
 k such that a window spans ``SPAN`` characters, so that a common span of that length always has a seed in common. Seeds are
-joined; matches of a pair that overlap on one diagonal melt into anchors, and anchors are chained with gap costs through
-a Fenwick tree. Aligning a chain means extending its anchors over the texts, at most a window to either side, which gives
-the exact spans; a chain as a whole is a fuzzy passage. Equal texts are one class, and only its representative is compared.
+joined; matches of a pair that overlap on one diagonal melt into anchors. On the texts anchors grow to their full length, at
+most a window to either side; those of at least ``SPAN`` characters are the exact runs that a pair shares, and they are chained
+with gap costs through a Fenwick tree. A chain, aligned by its runs, is a passage that the two texts share up to edits. A
+pair counts as soon as it has a chain. Equal texts are one class, and only its representative is compared.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from strandmill.runtime import materialise, table
 
 SPAN, WINDOW = 200, 64
-GAP_COST = 0.05
+GAIN = 20  # a character of a run is worth as much as so many characters of gap
 SLICE = 1 << 20
+HOT = 1000  # texts with one seed beyond which its pairs are dealt out to several tasks
 _B = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -106,29 +108,33 @@ def _seeding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from made(ids, texts)
 
 
-def chain(pa_: list[int], pb: list[int], n: list[int], gap: float = GAP_COST) -> list[int]:
-    """Number of the collinear chain of each anchor, best chains first. Prefix maxima over the ends in b come from a Fenwick tree."""
-    count = len(n)
+def chain(xs: list[int], ys: list[int], ns: list[int]) -> tuple[list[int], int]:
+    """Number of the collinear chain of each run, best chains first, and the score of the best one.
+
+    A chain scores ``GAIN`` for each character of its runs less one for each character of the gaps between them, on both
+    sides. Prefix maxima over the ends in the second text come from a Fenwick tree.
+    """
+    count = len(ns)
     if count == 1:
-        return [0]
-    ranks = sorted({b + m for b, m in zip(pb, n)})
-    tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (len(ranks) + 1)
-    by_start, by_end = sorted(range(count), key=lambda i: pa_[i]), sorted(range(count), key=lambda i: pa_[i] + n[i])
-    score, before, done = [0.0] * count, [-1] * count, 0
+        return [0], GAIN * ns[0]
+    ranks = sorted({y + n for y, n in zip(ys, ns)})
+    tree: list[tuple[int, int]] = [(-1, -1)] * (len(ranks) + 1)
+    by_start, by_end = sorted(range(count), key=lambda i: xs[i]), sorted(range(count), key=lambda i: xs[i] + ns[i])
+    score, before, done = [0] * count, [-1] * count, 0
     for j in by_start:
-        while done < count and pa_[by_end[done]] + n[by_end[done]] <= pa_[j]:
+        while done < count and xs[by_end[done]] + ns[by_end[done]] <= xs[j]:
             i = by_end[done]
-            value, r = (score[i] + gap * (pa_[i] + n[i] + pb[i] + n[i]), i), bisect_right(ranks, pb[i] + n[i])
+            value, r = (score[i] + xs[i] + ys[i] + 2 * ns[i], i), bisect_right(ranks, ys[i] + ns[i])
             while r < len(tree):
                 if value > tree[r]:
                     tree[r] = value
                 r += r & -r
             done += 1
-        best, r = (float("-inf"), -1), bisect_right(ranks, pb[j])
+        best, r = (-1, -1), bisect_right(ranks, ys[j])
         while r:
             best, r = max(best, tree[r]), r & (r - 1)
-        gain = best[0] - gap * (pa_[j] + pb[j])
-        score[j] = n[j] + max(gain, 0.0)
+        gain = best[0] - xs[j] - ys[j] if best[1] >= 0 else 0
+        score[j] = GAIN * ns[j] + max(gain, 0)
         before[j] = best[1] if gain > 0 else -1
     number, chains = [-1] * count, 0
     for j in sorted(range(count), key=lambda i: -score[i]):
@@ -137,14 +143,14 @@ def chain(pa_: list[int], pb: list[int], n: list[int], gap: float = GAP_COST) ->
                 number[j] = chains
                 j = before[j]
             chains += 1
-    return number
+    return number, max(score)
 
 
-PAIRS = "a bigint, b bigint, many boolean, pa array<int>, pb array<int>, n array<int>, chain array<int>"
+PAIRS = "a bigint, b bigint, many boolean, pa array<int>, pb array<int>, n array<int>"
 
 
-def _chaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches sorted by pair, diagonal and position, to one row a pair."""
+def _melting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches sorted by pair, diagonal and position, to one row a pair with its anchors."""
     k = SPAN - WINDOW + 1
 
     def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -154,16 +160,11 @@ def _chaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = pair | np.r_[True, (diagonal[1:] != diagonal[:-1]) | (at[1:] - at[:-1] > k)]
         first = np.flatnonzero(new)
         last = np.r_[first[1:], len(a)] - 1
-        xa, xb, n = at[first], bt[first], at[last] - at[first] + k
         head = np.flatnonzero(pair[first])
-        tail = np.r_[head[1:], len(first)]
-        complex_ = np.logical_or.reduceat(many, np.flatnonzero(pair))
-        out: list[tuple] = []
-        for i, (h, t) in enumerate(zip(head, tail)):
-            x, y, m = xa[h:t].tolist(), xb[h:t].tolist(), n[h:t].tolist()
-            out.append((int(a[first[h]]), int(b[first[h]]), bool(complex_[i]), x, y, m, chain(x, y, m)))
-        ints = pa.list_(pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), ints, ints, ints, ints))], names=["a", "b", "many", "pa", "pb", "n", "chain"])
+        at_pair = np.flatnonzero(pair)
+        offsets = pa.array(np.r_[head, len(first)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (at[first], bt[first], at[last] - at[first] + k)]
+        return pa.RecordBatch.from_arrays([pa.array(a[at_pair]), pa.array(b[at_pair]), pa.array(np.logical_or.reduceat(many, at_pair)), *lists], names=["a", "b", "many", "pa", "pb", "n"])
 
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -235,83 +236,65 @@ def _equal_run(ca: np.ndarray, cb: np.ndarray, x: int, y: int) -> int:
     return n
 
 
-def _all_anchors(ta: str, tb: str) -> tuple[list[int], list[int], list[int]]:
-    """Anchors as seeds make them, of all occurrences of all seeds: from the first to the last common seed of each equal run."""
-    k, ca, cb = SPAN - WINDOW + 1, _codes(ta), _codes(tb)
-    ha, hb = gram_hashes(ca, k), gram_hashes(cb, k)
-    sa, sb = np.zeros(len(ha), bool), np.zeros(len(hb), bool)
-    sa[seeds(ca, np.full(len(ca), len(ca)))[0]] = True
-    sb[seeds(cb, np.full(len(cb), len(cb)))[0]] = True
+def _all_runs(ta: str, tb: str) -> list[tuple[int, int, int]]:
+    """All runs ``(start in a, start in b, length)`` of at least ``SPAN`` equal characters that go on to neither side."""
+    ca, cb = _codes(ta), _codes(tb)
     out = []
-    for xs, ys in _left_maximal(ha, hb, ca, cb):
+    for xs, ys in _left_maximal(gram_hashes(ca, SPAN), gram_hashes(cb, SPAN), ca, cb):
         for x, y in zip(xs.tolist(), ys.tolist()):
-            m = _equal_run(ca, cb, x, y) - k + 1
-            if m > 0 and len(at := np.flatnonzero(sa[x : x + m] & sb[y : y + m])):
-                out.append((y - x, x + int(at[0]), int(at[-1] - at[0]) + k))
-    out.sort()
-    return [x for _, x, _ in out], [x + d for d, x, _ in out], [n for *_, n in out]
+            n = _equal_run(ca, cb, x, y)
+            if n >= SPAN:  # equal hashes of unequal characters don't count
+                out.append((x, y, n))
+    return sorted(out)
 
 
-def _covered(hits: np.ndarray, span: int) -> list[tuple[int, int]]:
-    """Intervals that the runs of ``span`` characters at the given starts cover."""
-    if not len(hits):
-        return []
-    cut = np.flatnonzero(np.diff(hits) > span)
-    return list(zip(hits[np.r_[0, cut + 1]].tolist(), (hits[np.r_[cut, len(hits) - 1]] + span).tolist()))
+def _runs(ta: str, tb: str, many: bool, xs: list[int], ys: list[int], ns: list[int]) -> list[tuple[int, int, int]]:
+    if many:  # a seed repeats within a text, and the join has seen its first place only
+        return _all_runs(ta, tb)
+    grown = set()
+    for x, y, n in zip(xs, ys, ns):
+        left, right = _extend(ta, tb, x, y, n)
+        if n + left + right >= SPAN and ta[x : x + n] == tb[y : y + n]:
+            grown.add((x - left, y - left, n + left + right))
+    return sorted(grown)
 
 
 RUNS = "a bigint, b bigint, side int, start int, end int, chain int"
-PASSAGES = "a bigint, b bigint, chain int, a_start int, a_end int, b_start int, b_end int, n_anchors int, n_equal int"
+CHAINS = "a bigint, b bigint, n_runs int, longest int, score bigint"
+PASSAGES = "a bigint, b bigint, chain int, a_start int, a_end int, b_start int, b_end int, n_runs int, n_equal int"
+
 
+def _passages(runs: list[tuple[int, int, int]], number: list[int]) -> Iterator[tuple]:
+    by: dict[int, list] = {}
+    for c, run in zip(number, runs):
+        by.setdefault(c, []).append(run)
+    for c, g in by.items():
+        yield c, min(x for x, *_ in g), max(x + n for x, _, n in g), min(y for _, y, _ in g), max(y + n for _, y, n in g), len(g), sum(n for *_, n in g)
 
-def _aligning(passages: bool):
+
+def _aligning(schema: str):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for a, b, many, xs, ys, ns, chains, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(7)), batch.column(7), batch.column(8)):
-                ta, tb = ta.as_py(), tb.as_py()
-                grown = []
-                if passages and many:  # a seed repeats within a text, and the join has seen its first place only
-                    xs, ys, ns = _all_anchors(ta, tb)
-                    chains = chain(xs, ys, ns) if xs else []
-                for x, y, n, c in zip(xs, ys, ns, chains):
-                    if not passages and many:
-                        break
-                    left, right = _extend(ta, tb, x, y, n)
-                    grown.append((x - left, y - left, n + left + right, c))
-                if passages:
-                    by: dict[int, list] = {}
-                    for g in grown:
-                        by.setdefault(g[3], []).append(g)
-                    for c, g in by.items():
-                        out.append((a, b, c, min(x for x, *_ in g), max(x + n for x, _, n, _ in g), min(y for _, y, *_ in g), max(y + n for _, y, n, _ in g), len(g), sum(e - s for s, e in _union([(x, x + n) for x, _, n, _ in g]))))
-                elif many:  # a seed repeats within a text: compare all runs of the span's length
-                    ha, hb = gram_hashes(_codes(ta), SPAN), gram_hashes(_codes(tb), SPAN)
-                    for side, (own, other, text, where) in enumerate(((ha, hb, ta, tb), (hb, ha, tb, ta))):
-                        hits = np.flatnonzero(np.isin(own, other))
-                        out += [(a, b, side, s, e, None) for s, e in _covered(hits, SPAN) if text[s : s + SPAN] in where]
+            for a, b, many, xs, ys, ns, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(6)), batch.column(6), batch.column(7)):
+                runs = _runs(ta.as_py(), tb.as_py(), many, xs, ys, ns)
+                if not runs:
+                    continue
+                number, score = chain(*map(list, zip(*runs)))
+                if schema == CHAINS:
+                    out.append((a, b, len(runs), max(n for *_, n in runs), score))
+                elif schema == PASSAGES:
+                    out += [(a, b, *p) for p in _passages(runs, number)]
                 else:
-                    for x, y, n, c in set(grown):
-                        if n >= SPAN:
-                            out += [(a, b, 0, x, x + n, c), (a, b, 1, y, y + n, c)]
-            names = [f.split()[0] for f in (PASSAGES if passages else RUNS).split(", ")]
-            types = [pa.int64(), pa.int64(), *[pa.int32()] * (len(names) - 2)]
-            cols = list(zip(*out)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+                    for (x, y, n), c in zip(runs, number):
+                        out += [(a, b, 0, x, x + n, c), (a, b, 1, y, y + n, c)]
+            fields = [f.split() for f in schema.split(", ")]
+            cols = list(zip(*out)) or [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if t == "bigint" else pa.int32()) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
 
     return align
 
 
-def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
-
-
 def text_classes(docs: DataFrame) -> DataFrame:
     """``(doc_id, rep, copies)`` of every document with a text of at least ``SPAN`` characters; equal texts share the smallest doc_id."""
     keyed = docs.filter((F.length("text") >= SPAN) & F.col("doc_id").isNotNull()).select("doc_id", F.md5("text").alias("h"))
@@ -319,19 +302,33 @@ def text_classes(docs: DataFrame) -> DataFrame:
     return keyed.join(reps, "h").select("doc_id", "rep", "copies")
 
 
-def _pairs(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chained pairs of class representatives, and the representatives' texts."""
-    texts = docs.select("doc_id", "text").join(classes.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    found = texts.mapInArrow(_seeding, "seed bigint, doc bigint, pos int, many boolean")
-    left, right = (found.select("seed", F.col("doc").alias(d), F.col("pos").alias(p), F.col("many").alias(m)) for d, p, m in (("a", "pa", "ma"), ("b", "pb", "mb")))
-    matches = left.join(right.hint("merge"), "seed").filter("a < b").select("a", "b", "pa", "pb", (F.col("ma") | F.col("mb")).alias("many"))
-    by_pair = matches.repartition("a", "b").sortWithinPartitions("a", "b", F.col("pb") - F.col("pa"), "pa")
-    return by_pair.mapInArrow(_chaining, PAIRS), texts
+def _matches(found: DataFrame) -> DataFrame:
+    """``(a, b, pa, pb, many)`` of each seed that two texts, a < b, have in common.
+
+    A seed of more than ``HOT`` texts is dealt out: its texts on one side to several tasks, each of which gets all those on the other side.
+    """
+
+    def met(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
+        a, b = (x.select(*key, F.col("doc").alias(d), F.col("pos").alias(p), F.col("many").alias(m)) for x, d, p, m in ((left, "a", "pa", "ma"), (right, "b", "pb", "mb")))
+        return a.join(b.hint("merge"), list(key)).filter("a < b").select("a", "b", "pa", "pb", (F.col("ma") | F.col("mb")).alias("many"))
 
+    hot = materialise(found.groupBy("seed").agg(F.count("*").alias("texts")).filter(F.col("texts") > HOT).select("seed", F.ceil(F.col("texts") / HOT).cast("int").alias("deals")), "hot")
+    if hot.isEmpty():
+        return met(found, found, "seed")
+    cold, warm = found.join(hot, "seed", "left_anti"), found.join(hot, "seed")
+    dealt = warm.withColumn("deal", F.pmod(F.xxhash64("doc"), F.col("deals")).cast("int"))
+    copied = warm.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    return met(cold, cold, "seed").unionByName(met(dealt, copied, "seed", "deal"))
 
-def _aligned(pairs: DataFrame, texts: DataFrame, passages: bool) -> DataFrame:
+
+def _chained(docs: DataFrame, classes: DataFrame, schema: str) -> DataFrame:
+    """Seeds, matches, anchors, runs and chains of the class representatives, as rows of ``schema``."""
+    texts = docs.select("doc_id", "text").join(classes.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    found = materialise(texts.mapInArrow(_seeding, "seed bigint, doc bigint, pos int, many boolean"), "seeds")
+    by_pair = _matches(found).repartition("a", "b").sortWithinPartitions("a", "b", F.col("pb") - F.col("pa"), "pa")
+    pairs = by_pair.mapInArrow(_melting, PAIRS)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "many", "pa", "pb", "n", "chain", "ta", "tb").mapInArrow(_aligning(passages), PASSAGES if passages else RUNS)
+    return both.select("a", "b", "many", "pa", "pb", "n", "ta", "tb").mapInArrow(_aligning(schema), schema)
 
 
 def shared_runs(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -339,7 +336,7 @@ def shared_runs(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     ``side`` 0 places the span in a's text, 1 in b's. Texts that are null, empty or shorter than the span share nothing.
     """
-    return _aligned(*_pairs(docs, classes), passages=False)
+    return _chained(docs, classes, RUNS)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,17 +344,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents, copies included, as the result's columns demand.
-
-    An anchor, which is a run of overlapping equal k-mers, of the span's length settles a pair; only the chains of the
-    other pairs are aligned on the texts.
-    """
+    """All pairs of documents with a chain, copies included, as the result's columns demand."""
     docs = _docs(spark, sf_dir)
     classes = materialise(text_classes(docs), "classes")
-    chained, texts = _pairs(docs, classes)
-    chained = materialise(chained.withColumn("sure", F.exists("n", lambda n: n >= SPAN)), "chained")
-    doubtful = _aligned(chained.filter("NOT sure").drop("sure"), texts, passages=False).select("a", "b").distinct()
-    pairs = chained.filter("sure").select("a", "b").unionByName(doubtful)
+    pairs = _chained(docs, classes, CHAINS).select("a", "b")
     x, y = (classes.select(F.col("rep").alias(r), F.col("doc_id").alias(d)) for r, d in (("a", "x"), ("b", "y")))
     apart = pairs.join(x, "a").join(y, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
     copies = classes.filter("copies > 1").select("rep", "doc_id")
@@ -365,6 +355,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apart.unionByName(within)
 
 
+def p10_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each pair of class representatives its exact runs, the longest of them, and the score of the best chain."""
+    docs = _docs(spark, sf_dir)
+    return _chained(docs, materialise(text_classes(docs), "classes"), CHAINS).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "n_runs", "longest", "score")
+
+
 def _covered_parts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``(rep, start, end)``: the united stretches of each representative's text that also stand in another one's."""
     runs = shared_runs(docs, classes).select(F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")).alias("rep"), "start", "end")
@@ -393,12 +389,9 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fuzzy passages: one row a chain, between class representatives; ``likeness`` is the exact part of the longer side.
-
-    The join knows the first place of a seed in a text; pairs with a seed that repeats get their anchors from the texts.
-    """
+    """Fuzzy passages: one row a chain, between class representatives; ``likeness`` is the exact part of the longer side."""
     docs = _docs(spark, sf_dir)
-    got = _aligned(*_pairs(docs, materialise(text_classes(docs), "classes")), passages=True)
+    got = _chained(docs, materialise(text_classes(docs), "classes"), PASSAGES)
     return got.withColumn("likeness", F.col("n_equal") / F.greatest(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start")))
 
 
@@ -411,7 +404,19 @@ spans AS (SELECT doc_id, CAST(min(i) - 1 AS INT) AS "start", CAST(max(i) + 199 A
 """
 SQL = {
     "p10_found": _GRAMS_SQL + "SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM h a JOIN h b ON a.w = b.w AND a.doc_id < b.doc_id",
+    "p10_chains": """WITH RECURSIVE reps AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE length(text) >= 200 GROUP BY text),
+g AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS w FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM reps)),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, b.i - a.i AS d, a.i AS x FROM g a JOIN g b ON a.w = b.w AND a.doc_id < b.doc_id),
+k AS (SELECT a, b, d, x, x - row_number() OVER (PARTITION BY a, b, d ORDER BY x) AS island FROM m),
+runs AS (SELECT a, b, min(x) AS x, min(x) + d AS y, count(*) + 199 AS n FROM k GROUP BY a, b, d, island),
+l AS MATERIALIZED (SELECT a, b, list(x ORDER BY x, y) AS xs, list(y ORDER BY x, y) AS ys, list(n ORDER BY x, y) AS ns, count(*) AS runs, max(n) AS longest FROM runs GROUP BY a, b),
+s(a, b, j, scores) AS (
+  SELECT a, b, 1, [20 * ns[1]] FROM l
+  UNION ALL SELECT a, b, j + 1, list_append(scores, 20 * ns[j + 1] + greatest(0, coalesce(list_max(list_transform(range(1, j + 1),
+    lambda i: CASE WHEN xs[i] + ns[i] <= xs[j + 1] AND ys[i] + ns[i] <= ys[j + 1] THEN scores[i] - (xs[j + 1] - xs[i] - ns[i]) - (ys[j + 1] - ys[i] - ns[i]) ELSE 0 END)), 0)))
+  FROM s JOIN l USING (a, b) WHERE j < runs)
+SELECT a AS doc_a, b AS doc_b, CAST(runs AS INT) AS n_runs, CAST(longest AS INT) AS longest, CAST(list_max(scores) AS BIGINT) AS score FROM s JOIN l USING (a, b) WHERE j = runs""",
     "p10_spans": _SPANS_SQL + "SELECT * FROM spans",
     "p10_shared": _SPANS_SQL + ", p AS (SELECT doc_id, CAST(sum(\"end\" - \"start\") AS BIGINT) AS c, count(*) AS n FROM spans GROUP BY doc_id) SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(c, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) ELSE 0 END AS shared_part, coalesce(n, 0) AS n_spans FROM documents LEFT JOIN p USING (doc_id)",
 }
-QUERIES = {"p10_found": p10_found, "p10_spans": p10_spans, "p10_shared": p10_shared, "p10_passages": p10_passages}
+QUERIES = {"p10_found": p10_found, "p10_chains": p10_chains, "p10_spans": p10_spans, "p10_shared": p10_shared, "p10_passages": p10_passages}

@@ -126,9 +126,10 @@ def brute(docs, span=200):
     return pairs, cover
 
 
-@pytest.mark.parametrize("slice_", [1 << 20, 4096])
-def test_shared_spans(spark, monkeypatch, tmp_path, slice_):
+@pytest.mark.parametrize("slice_, hot", [(1 << 20, 1000), (4096, 3)])
+def test_shared_spans(spark, monkeypatch, tmp_path, slice_, hot):
     monkeypatch.setattr(spans, "SLICE", slice_)
+    monkeypatch.setattr(spans, "HOT", hot)
     rng = random.Random(4)
     text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
     base = [text(300) for _ in range(6)]
@@ -157,49 +158,42 @@ def test_shared_spans(spark, monkeypatch, tmp_path, slice_):
         stretches[r.doc_id].append(r.end - r.start)
     assert all(sum(stretches[i]) == r.shared_chars and len(stretches[i]) == r.n_spans for i, r in shared.items())
     passages = spans.p10_passages(spark, str(tmp_path)).collect()
-    assert all(0 < r.likeness <= 1 and r.n_anchors > 0 for r in passages)
+    assert all(0 < r.likeness and r.n_runs > 0 for r in passages)
     empty = df.filter("false")
     assert spans.shared_runs(empty, spans.text_classes(empty)).count() == 0
 
 
+def best_chain(runs):
+    best = [0] * len(runs)
+    for j, (x, y, n) in enumerate(runs):  # sorted by x
+        links = [best[i] - (x - p - m) - (y - q - m) for i, (p, q, m) in enumerate(runs[:j]) if p + m <= x and q + m <= y]
+        best[j] = spans.GAIN * n + max([0, *links])
+    return max(best)
+
+
 def test_chains_have_the_best_score():
     rng = random.Random(5)
     for _ in range(200):
-        n = rng.randrange(1, 12)
-        xs, ys, ms = ([rng.randrange(1, hi) for _ in range(n)] for hi in (400, 400, 60))
-        best = [0.0] * n
-        for j in sorted(range(n), key=lambda i: xs[i]):
-            links = [best[i] - spans.GAP_COST * (xs[j] - xs[i] - ms[i] + ys[j] - ys[i] - ms[i]) for i in range(n) if xs[i] + ms[i] <= xs[j] and ys[i] + ms[i] <= ys[j]]
-            best[j] = ms[j] + max([0.0, *links])
-        number = spans.chain(xs, ys, ms)
-        top = sorted((i for i in range(n) if number[i] == 0), key=lambda i: xs[i])
-        score = sum(ms[i] for i in top) - spans.GAP_COST * sum(xs[j] - xs[i] - ms[i] + ys[j] - ys[i] - ms[i] for i, j in zip(top, top[1:]))
-        assert abs(score - max(best)) < 1e-6 and sorted(set(number)) == list(range(max(number) + 1))
-
-
-def brute_passages(a, b):
-    """(a_start, a_end, b_start, b_end, n_anchors, n_equal) of all chains, from all pairs of places of all seeds."""
-    k = spans.SPAN - spans.WINDOW + 1
-    places = []
-    for t in (a, b):
-        grams = spans.gram_hashes(spans._codes(t), k).tolist()
-        low = [min(grams[i : i + spans.WINDOW]) for i in range(len(t) - spans.SPAN + 1)]
-        places.append([i for i, g in enumerate(grams) if g in low[max(0, i - spans.WINDOW + 1) : i + 1]])
-    anchors = []
-    for d, x in sorted((y - x, x) for x in places[0] for y in places[1] if a[x : x + k] == b[y : y + k]):
-        if anchors and anchors[-1][0] == d and x - anchors[-1][2] <= k:
-            anchors[-1][2] = x
-        else:
-            anchors.append([d, x, x])
-    by = defaultdict(list)
-    for (d, x, last), c in zip(anchors, spans.chain([x for _, x, _ in anchors], [x + d for d, x, _ in anchors], [z - x + k for _, x, z in anchors]) if anchors else []):
-        y, e = x + d, last + k
-        while x and y and a[x - 1] == b[y - 1]:
-            x, y = x - 1, y - 1
-        while e < len(a) and e + d < len(b) and a[e] == b[e + d]:
-            e += 1
-        by[c].append((x, e, y, e + d))
-    return sorted((min(x for x, *_ in g), max(e for _, e, *_ in g), min(g_[2] for g_ in g), max(g_[3] for g_ in g), len(g), len({i for x, e, *_ in g for i in range(x, e)})) for g in by.values())
+        runs = sorted(tuple(rng.randrange(1, hi) for hi in (4000, 4000, 60)) for _ in range(rng.randrange(1, 12)))
+        number, score = spans.chain(*map(list, zip(*runs)))
+        top = [r for r, c in zip(runs, number) if c == 0]
+        gaps = sum(x - p - m + y - q - m for (p, q, m), (x, y, _) in zip(top, top[1:]))
+        assert all(p + m <= x and q + m <= y for (p, q, m), (x, y, _) in zip(top, top[1:]))
+        assert score == best_chain(runs) == spans.GAIN * sum(n for *_, n in top) - gaps and sorted(set(number)) == list(range(max(number) + 1))
+
+
+def brute_runs(a, b):
+    out = []
+    for d in range(-len(a), len(b)):
+        x = max(0, -d)
+        while x < min(len(a), len(b) - d):
+            n = 0
+            while x + n < min(len(a), len(b) - d) and a[x + n] == b[x + n + d]:
+                n += 1
+            if n >= spans.SPAN:
+                out.append((x, x + d, n))
+            x += n + 1
+    return sorted(out)
 
 
 def test_passages_with_repeated_blocks(spark, tmp_path):
@@ -208,8 +202,21 @@ def test_passages_with_repeated_blocks(spark, tmp_path):
     block, row, one = text(230), text(150), text(400)
     docs = [block + text(50) + block + text(80) + block, text(30) + block + text(20) + block, row * 4, text(10) + row * 3 + text(99), one + text(100) + row * 2, text(60) + one, "x" * 420, "y" + "x" * 300, "ab" * 150]
     spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(i, j): x for i, a in enumerate(docs) for j, b in enumerate(docs) if i < j and (x := brute_runs(a, b))}
+    chains = {(r.doc_a, r.doc_b): (r.n_runs, r.longest, r.score) for r in spans.p10_chains(spark, str(tmp_path)).collect()}
+    assert chains == {p: (len(x), max(n for *_, n in x), best_chain(x)) for p, x in want.items()} and (0, 1) in chains
     got = defaultdict(list)
     for r in spans.p10_passages(spark, str(tmp_path)).collect():
-        got[r.a, r.b].append((r.a_start, r.a_end, r.b_start, r.b_end, r.n_anchors, r.n_equal))
-    want = {(i, j): x for i, a in enumerate(docs) for j, b in enumerate(docs) if i < j and (x := brute_passages(a, b))}
-    assert {p: sorted(x) for p, x in got.items()} == want and want[0, 1]
+        got[r.a, r.b].append((r.chain, r.a_start, r.a_end, r.b_start, r.b_end, r.n_runs, r.n_equal))
+    assert {p: sorted(x) for p, x in got.items()} == {p: sorted(spans._passages(x, spans.chain(*map(list, zip(*x)))[0])) for p, x in want.items()}
+
+
+def test_chains_decide(spark, tmp_path, monkeypatch):
+    rng = random.Random(10)
+    block = ["".join(rng.choice("abcdefgh ") for _ in range(250)) for _ in range(2)]
+    spark.createDataFrame([(1, block[0] + "-" * 9 + block[1]), (2, block[0] + block[1]), (3, block[1] + "+" + block[0])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    score = lambda: {(r.doc_a, r.doc_b): r.score for r in spans.p10_chains(spark, str(tmp_path)).collect()}
+    passages = lambda: spans.p10_passages(spark, str(tmp_path)).count()
+    assert score() == {(1, 2): 20 * 500 - 9, (1, 3): 20 * 250, (2, 3): 20 * 250} and passages() == 5
+    monkeypatch.setattr(spans, "chain", lambda xs, ys, ns: ([0] * len(ns), 0))
+    assert set(score().values()) == {0} and passages() == 3
