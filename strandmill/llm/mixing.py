@@ -71,15 +71,46 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[0]
 
 
-def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each target its share, the share reached, and how documents were used."""
-    mixed, targets = _mixture(spark, sf_dir)
+def _shares(mixed: DataFrame, targets: DataFrame, docs: DataFrame) -> DataFrame:
+    """For each target what it is owed and what it got. ``owed_share`` is its share among the targets that can be served, null for the others.
+
+    Fair queueing keeps every source within one document of its due, so that an actual share is off by at most ``bound``: the longest document of
+    the source and, by its weight, those of all sources, over the tokens of the mixture.
+    """
+    clean = F.lower(F.trim("source")).alias("source")
+    have = docs.select(clean, "doc_id", "n_tokens").filter("n_tokens > 0").groupBy("source").agg(F.count("*").alias("n_available"), F.max("n_tokens").alias("longest"))
     per = mixed.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("u"))
     got = per.groupBy("source").agg(F.sum("t").alias("n_tokens"), F.count("*").alias("n_docs"), F.max("u").alias("most_uses"))
-    out = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").join(got, "source", "left").withColumn("all_tokens", F.sum("n_tokens").over(Window.partitionBy()))  # one row a target
+    all_ = Window.partitionBy()  # over one row a target
+    out = targets.select(clean, "target_share", "max_repeats").join(have, "source", "left").join(got, "source", "left")
+    weight = F.when((F.col("n_available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0), F.col("target_share"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return out.select("source", "target_share", "max_repeats", zero("n_tokens"), zero("n_docs"), zero("most_uses"), F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
+    out = out.withColumns({"all_tokens": F.sum("n_tokens").over(all_), "owed_share": weight / F.sum(weight).over(all_), "spare": F.sum(F.when(weight.isNotNull(), F.col("longest"))).over(all_)})
+    actual = F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0))
+    out = out.withColumns({"actual_share": actual, "deviation": actual - F.col("owed_share"), "bound": (F.col("longest") + F.col("owed_share") * F.col("spare")) / F.col("all_tokens")})
+    return out.select("source", "target_share", "max_repeats", zero("n_available"), zero("n_tokens"), zero("n_docs"), zero("most_uses"), "owed_share", "actual_share", "deviation", "bound")
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = materialise(token_lengths(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), "tokens")
+    targets = table(spark, sf_dir, "mix_targets")
+    return _shares(materialise(mix(sizes, targets), "mixed"), targets, sizes)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target its share, the share owed and the share reached, and how documents were used."""
+    return _measured(spark, sf_dir)
+
+
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target its documents, the share it is owed, and whether uses and the share reached keep their bounds."""
+    uses = F.col("most_uses") <= F.coalesce("max_repeats", F.lit(0))
+    return _measured(spark, sf_dir).select("source", "n_available", "owed_share", uses.alias("uses_hold"), F.coalesce(F.abs("deviation") <= F.col("bound"), F.col("n_tokens") == 0).alias("share_holds"))
 
 
-SQL: dict[str, str] = {}
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
+SQL = {
+    "p9_invariants": """WITH d AS (SELECT lower(trim(source)) AS source, count(*) AS n FROM documents WHERE length(text) > 0 GROUP BY 1),
+t AS (SELECT lower(trim(m.source)) AS source, coalesce(n, 0) AS n, CASE WHEN n > 0 AND target_share > 0 AND max_repeats > 0 THEN target_share END AS w FROM mix_targets m LEFT JOIN d ON lower(trim(m.source)) = d.source)
+SELECT source, n AS n_available, w / sum(w) OVER () AS owed_share, TRUE AS uses_hold, TRUE AS share_holds FROM t"""
+}
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_invariants": p9_invariants}

@@ -116,5 +116,25 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("container").agg(F.count("*").alias("n_containers"), F.sum("t").alias("n_tokens"), F.max(F.col("t") - room).alias("most_over")).withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * room))
 
 
-SQL: dict[str, str] = {}
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill}
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each kind of container what must hold: every document whole and once, no container over its capacity, nothing split that fits, nothing overlapping.
+
+    ``tight``: the containers are at most a twentieth, and one, more than the tokens need.
+    """
+    caps = _capacities(spark, sf_dir)
+    sizes = materialise(token_lengths(table(spark, sf_dir, "documents"), "doc_id", "text"), "tokens")
+    packed = materialise(pack_items(sizes, caps), "packed") if caps else pack_items(sizes, caps)
+    room = F.coalesce(*[F.when(F.col("container") == n, F.lit(c)) for n, c in caps.items()], F.lit(None).cast("int"))
+    pieces = packed.groupBy("container", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("parts"), F.sum(F.col("start_token")).alias("starts"))
+    every = sizes.select("doc_id", F.col("n_tokens").alias("size"), F.explode(F.array(*[F.lit(n) for n in caps]).cast("array<string>")).alias("container"))
+    both = every.join(pieces, ["container", "doc_id"], "full").withColumn("room", room)
+    want = F.greatest(F.ceil(F.col("size") / F.col("room")), F.lit(1))
+    one = lambda c: F.sum(c.cast("int"))
+    docs = both.groupBy("container").agg(F.count("size").alias("n_docs"), one(~F.coalesce(F.col("got") == F.col("size"), F.lit(False))).alias("n_not_whole"), one(~F.coalesce((F.col("parts") == want) & (F.col("starts") == F.col("room") * want * (want - 1) / 2), F.lit(False))).alias("n_cut_wrongly"))
+    inside = packed.filter("container_no IS NOT NULL").groupBy("container", "container_no").agg(F.sum("n_tokens").alias("t"), F.max(F.col("at") + F.col("n_tokens")).alias("top"), F.count_distinct("at").alias("places"), F.count("*").alias("items"))
+    full = inside.withColumn("room", room).groupBy("container").agg(one((F.col("t") > F.col("room")) | (F.col("top") != F.col("t")) | (F.col("places") != F.col("items"))).alias("n_wrong"), (F.count("*") <= F.sum("t") / F.max("room") * 1.05 + 1).alias("tight"))
+    return docs.join(full, "container", "left").select("container", "n_docs", "n_not_whole", "n_cut_wrongly", F.coalesce("n_wrong", F.lit(0)).alias("n_containers_wrong"), F.coalesce("tight", F.lit(True)).alias("tight"))
+
+
+SQL = {"p8_invariants": "SELECT container, count(doc_id) AS n_docs, 0 AS n_not_whole, 0 AS n_cut_wrongly, 0 AS n_containers_wrong, TRUE AS tight FROM container_sizes CROSS JOIN documents WHERE container IS NOT NULL AND capacity_tokens > 0 GROUP BY container"}
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_invariants": p8_invariants}

@@ -132,5 +132,24 @@ SQL = {
 w AS (SELECT read_id, max_chunk, list_filter(regexp_extract_all(upper(seq), '[ACGT]+'), lambda x: length(x) >= kmer_size) AS ws FROM reads),
 n AS (SELECT read_id, max_chunk, ws, unnest(range(len(ws))) AS i FROM w)
 SELECT read_id, CAST(i AS INT) AS window_no FROM n WHERE length(ws[i + 1]) > max_chunk""",
+    "p6_pieces": """WITH RECURSIVE reads AS (SELECT DISTINCT read_id, seq, CASE WHEN max_chunk > 0 THEN max_chunk ELSE 2147483647 END AS lim, CASE WHEN kmer_size > 0 THEN kmer_size ELSE 1 END AS unit FROM reads_fasta),
+big AS (SELECT * FROM reads WHERE length(seq) > lim),
+chars AS (SELECT read_id, unit, unnest(string_split(seq, '')) AS c, unnest(range(length(seq))) AS i FROM big),
+bases AS (SELECT read_id, unit, i, i - row_number() OVER (PARTITION BY read_id ORDER BY i) AS island FROM chars WHERE strpos('ACGTacgt', c) > 0),
+win AS (SELECT read_id, lo, hi, row_number() OVER (PARTITION BY read_id ORDER BY lo) - 1 AS no FROM (SELECT read_id, min(i) AS lo, max(i) + 1 AS hi FROM bases GROUP BY read_id, island, unit HAVING count(*) >= unit)),
+edges AS (SELECT read_id, lo AS x FROM win UNION SELECT read_id, hi FROM win UNION SELECT read_id, 0 FROM big UNION SELECT read_id, length(seq) FROM big),
+gaps AS (SELECT read_id, hi AS a, lead(lo) OVER (PARTITION BY read_id ORDER BY lo) AS z FROM win UNION ALL SELECT read_id, 0, min(lo) FROM win GROUP BY read_id
+  UNION ALL SELECT read_id, 0, NULL FROM big WHERE read_id NOT IN (SELECT read_id FROM win)),
+wide AS (SELECT read_id, unnest(range(a, coalesce(z, length(seq)), lim)) AS x FROM gaps JOIN big USING (read_id) WHERE coalesce(z, length(seq)) - a > lim),
+cuts AS (SELECT read_id, list(x) AS xs FROM (SELECT * FROM edges UNION SELECT * FROM wide) GROUP BY read_id),
+base AS MATERIALIZED (SELECT read_id, length(seq) AS size, lim, unit, xs FROM big JOIN cuts USING (read_id)),
+steps(read_id, n, s, e, forced, nxt) AS (
+  SELECT read_id, 0, CAST(0 AS BIGINT), CAST(coalesce(list_max(list_filter(xs, lambda x: x > 0 AND x <= lim)), lim) AS BIGINT), len(list_filter(xs, lambda x: x > 0 AND x <= lim)) = 0,
+    CAST(coalesce(list_max(list_filter(xs, lambda x: x > 0 AND x <= lim)), lim - least(unit, lim - 1)) AS BIGINT) FROM base
+  UNION ALL SELECT read_id, n + 1, nxt, coalesce(list_max(list_filter(xs, lambda x: x > nxt AND x <= nxt + lim)), nxt + lim), len(list_filter(xs, lambda x: x > nxt AND x <= nxt + lim)) = 0,
+    coalesce(list_max(list_filter(xs, lambda x: x > nxt AND x <= nxt + lim)), nxt + lim - least(unit, lim - 1)) FROM steps JOIN base USING (read_id) WHERE nxt < size)
+SELECT s.read_id, CAST(n AS INT) AS piece_no, CAST(s.s AS INT) AS "start", CAST(e AS INT) AS "end", CAST(CASE WHEN forced THEN no END AS INT) AS cut_window, substr(seq, s.s + 1, e - s.s) AS piece
+FROM steps s JOIN big USING (read_id) LEFT JOIN win w ON forced AND w.read_id = s.read_id AND s.s >= lo AND s.s < hi
+UNION ALL SELECT read_id, 0, 0, coalesce(length(seq), 0), NULL, seq FROM reads WHERE seq IS NULL OR length(seq) <= lim""",
 }
 QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces}
