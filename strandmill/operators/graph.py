@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strandmill.functions import kmer as K
 from strandmill.functions.seq import edge_bit, edge_count
-from strandmill.operators.kmers import READS_SQL, fastq_reads, kmers_sql, occurrences
+from strandmill.operators.kmers import FASTA_SQL, READS_SQL, count_kmers, fasta_reads, fastq_reads, kmers_sql, occurrences
 from strandmill.runtime import materialise
 
 rc = K.reverse_complement
@@ -248,9 +248,12 @@ def find_bubbles(nodes: DataFrame, k: int, unitigs_deep: int = 3) -> DataFrame:
 
 
 def bubble_text(found: DataFrame) -> DataFrame:
-    """``value``: the paths of bubbles as FASTA, bases that differ between the two in lower case where both are equally long."""
-    n = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("start"), F.lit(64))).orderBy("start", "end", "a_seq"))
-    numbered = found.withColumns({"g": F.pmod(F.xxhash64("start"), F.lit(64)), "i": n})
+    """``value``: the paths of bubbles as FASTA, bases that differ between the two in lower case where both are equally long.
+
+    Bubbles are numbered within the first six bases of their start, so that no task numbers them all.
+    """
+    group = F.conv(F.translate(F.left("start", F.lit(6)), "ACGT", "0123"), 4, 10).cast("int")
+    numbered = found.withColumn("g", group).withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("start", "end", "a_seq", "b_seq")))
     marked = lambda x, y: F.when(F.length(x) == F.length(y), F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.when(F.substring(F.col(x), i, F.lit(1)) == F.substring(F.col(y), i, F.lit(1)), F.substring(F.col(x), i, F.lit(1))).otherwise(F.lower(F.substring(F.col(x), i, F.lit(1))))), "")).otherwise(F.col(x))
     entry = lambda p, x, y: F.concat(F.format_string(f">match_%d_%d_path_{p}\n", "g", "i"), marked(x, y))
     return numbered.select(F.explode(F.array(entry(0, "a_seq", "b_seq"), entry(1, "b_seq", "a_seq"))).alias("value"))
@@ -448,9 +451,10 @@ def _both_ways(starts: DataFrame) -> DataFrame:
     return starts.select("kmer", F.explode(F.array("node", rc(F.col("node")))).alias("node")).distinct()
 
 
-def _top(nodes: DataFrame) -> DataFrame:
-    """The five k-mers of the highest coverage, as oriented nodes: where the SQL of ``paths_from`` starts."""
-    return nodes.orderBy(F.desc("coverage"), "kmer").limit(5).select("kmer", F.col("kmer").alias("node"))
+def _coloured(s: SparkSession, d: str) -> DataFrame:
+    """The contigs as colour 0 and the reads as colour 1."""
+    sets = [count_kmers(reads(s, d), GRAPH_K).withColumn("colour", F.lit(c)) for c, reads in enumerate((fasta_reads, fastq_reads))]
+    return sets[0].unionByName(sets[1])
 
 
 def _halves(s: SparkSession, d: str, first: bool) -> DataFrame:
@@ -475,7 +479,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bubbles_removed": lambda s, d: remove_bubbles(_graph(s, d), GRAPH_K),
     "bubble_paths": lambda s, d: find_bubbles(_graph(s, d), GRAPH_K),
     "bubble_fasta": lambda s, d: bubble_text(find_bubbles(_graph(s, d), GRAPH_K)),
-    "bubble_colours": lambda s, d: (lambda g: bubble_colours(find_bubbles(g, GRAPH_K), g.withColumn("colour", F.lit(0)), GRAPH_K))(_graph(s, d)),
+    "bubble_colours": lambda s, d: bubble_colours(find_bubbles(_graph(s, d), GRAPH_K), _coloured(s, d), GRAPH_K),
     "pair_links": lambda s, d: (lambda g: pair_links(_halves(s, d, True), _halves(s, d, False), unitig_members(g), GRAPH_K))(_graph(s, d)),
     "pair_signatures": lambda s, d: pair_signatures(fastq_reads(s, d), _graph(s, d), GRAPH_K).select("kmer", "bits", F.size("pairs").alias("n_pairs")),
     "spurious_links": lambda s, d: spurious_links(_graph(s, d), 2, 1),
@@ -483,7 +487,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "component_consensus": lambda s, d: (lambda g: consensus(g, components(g)))(_graph(s, d)),
     "coverage_walks": lambda s, d: (lambda g: coverage_walks(g, _both_ways(_starts(g))))(_graph(s, d)),
     "neighbourhood": lambda s, d: (lambda g: neighbourhood(g, _starts(g)))(_graph(s, d)),
-    "paths_from": lambda s, d: (lambda g: paths_from(g, _top(g), 8))(_graph(s, d)),
+    "paths_from": lambda s, d: (lambda g: paths_from(g, _oriented(g).filter("outs > 1").select("node"), 8))(_graph(s, d)),
     "graph_export": lambda s, d: export_lines(_graph(s, d), "dot").select("value"),
 }
 _MERS = f"{READS_SQL}, {kmers_sql('reads', GRAPH_K, 'rk')}, {kmers_sql('reads', GRAPH_K + 1, 'ek')}"
@@ -507,28 +511,74 @@ uni AS MATERIALIZED (SELECT seq, CAST(n AS BIGINT) AS n_kmers, lo AS min_coverag
         FROM (SELECT * FROM walk ANTI JOIN single ON tail = src) JOIN o a ON head = a.node JOIN o b ON tail = b.node WHERE seq <= {_RC.format(x="seq")})
 """
 )
+_NODES_SQL = f""", nh AS MATERIALIZED (SELECT tail AS node, least(tail, {_RC.format(x="tail")}) AS kmer, head FROM walk)"""
+_PARTS_SQL = _NODES_SQL + f""", ed AS MATERIALIZED (SELECT DISTINCT a.head AS v, b.head AS w FROM lk JOIN nh a ON src = a.node JOIN nh b ON dst = b.node
+  UNION SELECT a.head, b.head FROM nh a JOIN nh b ON b.node = {_RC.format(x="a.node")}),
+both_ed AS MATERIALIZED (SELECT v, w FROM ed UNION SELECT w, v FROM ed),
+cc(v, label) USING KEY (v) AS (SELECT head, head FROM nh GROUP BY head UNION SELECT e.w, min(c.label) FROM cc c JOIN both_ed e ON e.v = c.v JOIN recurring.cc r ON r.v = e.w WHERE c.label < r.label GROUP BY e.w),
+parts AS MATERIALIZED (SELECT kmer, min(kmer) OVER (PARTITION BY label) AS component FROM (SELECT kmer, min(label) AS label FROM nh JOIN cc ON head = v GROUP BY kmer)),
+sizes AS (SELECT component, count(*) AS size FROM parts GROUP BY component),
+seed AS MATERIALIZED (SELECT component, kmer FROM (SELECT component, kmer, row_number() OVER (PARTITION BY component ORDER BY coverage DESC, bit_count(edges), kmer) AS r FROM parts JOIN g USING (kmer)) WHERE r = 1)
+"""
+_STEPS_SQL = f""", best AS MATERIALIZED (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY coverage DESC, base) AS r FROM lk JOIN o ON dst = node) WHERE r = 1),
+cw("start", dist, node, seen) AS (SELECT x, CAST(0 AS BIGINT), x, [least(x, {_RC.format(x="x")})] FROM (SELECT kmer AS x FROM seed UNION SELECT {_RC.format(x="kmer")} FROM seed)
+  UNION ALL SELECT "start", dist + 1, dst, list_append(seen, least(dst, {_RC.format(x="dst")})) FROM cw JOIN best ON src = node WHERE NOT list_contains(seen, least(dst, {_RC.format(x="dst")})))
+"""
+_KMERS_OF = "SELECT DISTINCT least(x, reverse(translate(x, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT substr(seq, i, {k}) AS x FROM (SELECT seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM {source}))"
+
+
+def _pruned_sql(gone: str) -> str:
+    """The graph without the k-mers of a table, and without edges to them."""
+    return f""", left_ AS MATERIALIZED (SELECT * FROM g ANTI JOIN {gone} USING (kmer)), l2 AS MATERIALIZED (SELECT kmer, src, base, least(dst, {_RC.format(x="dst")}) AS dk FROM lk),
+kept AS (SELECT l2.kmer, bit_or((1 << (instr('ACGT', base) - 1)) * CASE WHEN src = l2.kmer THEN 1 ELSE 16 END) AS e FROM l2 SEMI JOIN left_ ON dk = left_.kmer GROUP BY l2.kmer)
+SELECT kmer, coverage, CAST(coalesce(e, 0) AS INT) AS edges FROM left_ LEFT JOIN kept USING (kmer)"""
+
+
+_PAIRS_SQL = f""", both_ AS (SELECT seq, head, tail, avg_coverage FROM uni WHERE left_edges = 1 AND right_edges = 1 AND n_kmers <= {10 * GRAPH_K + 1}
+  UNION ALL SELECT {_RC.format(x="seq")}, {_RC.format(x="tail")}, {_RC.format(x="head")}, avg_coverage FROM uni WHERE left_edges = 1 AND right_edges = 1 AND n_kmers <= {10 * GRAPH_K + 1}),
+pl AS (SELECT i.src AS s, q.dst AS e, seq, avg_coverage FROM both_ JOIN lk i ON i.dst = head JOIN lk q ON q.src = tail),
+pr AS (SELECT a.s, a.e, a.seq AS x, b.seq AS y, a.avg_coverage AS cx, b.avg_coverage AS cy FROM pl a JOIN pl b ON a.s = b.s AND a.e = b.e AND a.seq < b.seq),
+bub AS (SELECT * FROM pr WHERE (x, y, s) <= (least({_RC.format(x="x")}, {_RC.format(x="y")}), greatest({_RC.format(x="x")}, {_RC.format(x="y")}), {_RC.format(x="e")}))
+"""
+_FOUND_SQL = _WALK_SQL + f""", body AS MATERIALIZED (SELECT head, tail, substr(seq, {GRAPH_K + 1}) AS more FROM walk ANTI JOIN single ON tail = src),
+rch(s, kind, first, at_, seq, depth) AS (SELECT node, CASE WHEN ins > 1 THEN 'X' WHEN node < {_RC.format(x="node")} THEN 'f' ELSE 'r' END, base, dst, base, 0 FROM o JOIN lk ON node = src WHERE outs > 1
+  UNION ALL SELECT s, kind, first, dst, rch.seq || more || base, depth + 1 FROM rch JOIN body ON at_ = head JOIN lk ON src = tail WHERE depth < 3),
+mt AS (SELECT a.s, a.kind, a.at_, a.seq AS x, b.seq AS y, row_number() OVER (PARTITION BY a.s, a.first, b.first ORDER BY length(a.seq) + length(b.seq), a.seq, b.seq, a.at_) AS r
+  FROM rch a JOIN rch b ON a.s = b.s AND a.at_ = b.at_ AND a.first < b.first WHERE a.at_ <> a.s),
+fb AS MATERIALIZED (SELECT s AS "start", at_ AS "end", s || x AS a_seq, s || y AS b_seq, kind FROM mt WHERE r = 1)
+"""
+_MARKED = "CASE WHEN length({x}) = length({y}) THEN array_to_string(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN {x}[i] = {y}[i] THEN {x}[i] ELSE lower({x}[i]) END), '') ELSE {x} END"
 _SINGLETON = f"length(seq) < 100 AND ((left_edges = 0 AND right_edges = 0) OR (n_kmers = 1 AND (left_edges = 0 OR right_edges = 0)) OR avg_coverage < 2)"
 _REPETITIVE = f"left_edges > 1 AND right_edges > 1 AND (length(seq) < {2 * GRAPH_K} OR avg_coverage > 3 * (SELECT avg(coverage) FROM g))"
 SQL = {
     "pair_signatures": _GRAPH_SQL + "SELECT kmer, bit_or(CAST(1 AS BIGINT) << CAST(read_id % 63 AS INT)) AS bits, count(DISTINCT read_id) AS n_pairs FROM rk GROUP BY kmer",
     "unitigs": _WALK_SQL + "SELECT n_kmers, min_coverage, max_coverage, left_edges, right_edges, seq FROM uni",
     "contigs": _WALK_SQL + f"SELECT seq, n_kmers FROM uni WHERE NOT ({_SINGLETON}) AND NOT ({_REPETITIVE})",
-    "bubbles": _WALK_SQL + f""", both_ AS (SELECT seq, head, tail, avg_coverage FROM uni WHERE left_edges = 1 AND right_edges = 1 AND n_kmers <= {10 * GRAPH_K + 1}
-  UNION ALL SELECT {_RC.format(x="seq")}, {_RC.format(x="tail")}, {_RC.format(x="head")}, avg_coverage FROM uni WHERE left_edges = 1 AND right_edges = 1 AND n_kmers <= {10 * GRAPH_K + 1}),
-pl AS (SELECT i.src AS s, q.dst AS e, seq, avg_coverage FROM both_ JOIN lk i ON i.dst = head JOIN lk q ON q.src = tail),
-pr AS (SELECT a.s, a.e, a.seq AS x, b.seq AS y, a.avg_coverage AS cx, b.avg_coverage AS cy FROM pl a JOIN pl b ON a.s = b.s AND a.e = b.e AND a.seq < b.seq)
-SELECT s AS "start", e AS "end", x AS a_seq, cx AS a_coverage, y AS b_seq, cy AS b_coverage FROM pr
-WHERE (x, y, s) <= (least({_RC.format(x="x")}, {_RC.format(x="y")}), greatest({_RC.format(x="x")}, {_RC.format(x="y")}), {_RC.format(x="e")})""",
+    "unitig_stops": _WALK_SQL + "SELECT CASE x WHEN 0 THEN 'blunt' WHEN 1 THEN 'joins' ELSE 'branches' END AS reason, count(*) AS n FROM (SELECT left_edges AS x FROM uni UNION ALL SELECT right_edges FROM uni) GROUP BY 1",
+    "low_paths_removed": _WALK_SQL + ", low AS (SELECT seq FROM uni WHERE max_coverage <= 1), gone AS MATERIALIZED (" + _KMERS_OF.format(k=GRAPH_K, source="low") + ")" + _pruned_sql("gone"),
+    "bubbles": _WALK_SQL + _PAIRS_SQL + 'SELECT s AS "start", e AS "end", x AS a_seq, cx AS a_coverage, y AS b_seq, cy AS b_coverage FROM bub',
+    "bubbles_removed": _WALK_SQL + _PAIRS_SQL + ", worse AS (SELECT CASE WHEN cx >= cy THEN y ELSE x END AS seq FROM bub), gone AS MATERIALIZED (" + _KMERS_OF.format(k=GRAPH_K, source="worse") + ")" + _pruned_sql("gone"),
+    "bubble_paths": _FOUND_SQL + "SELECT * FROM fb",
+    "bubble_fasta": _FOUND_SQL + f""", nr AS (SELECT *, row_number() OVER (PARTITION BY left("start", 6) ORDER BY "start", "end", a_seq, b_seq) AS i, list_reduce(list_transform(range(1, 7), lambda p: instr('ACGT', "start"[p]) - 1), lambda a, b: a * 4 + b) AS n FROM fb)
+SELECT '>match_' || n || '_' || i || '_path_0' || chr(10) || {_MARKED.format(x="a_seq", y="b_seq")} AS value FROM nr UNION ALL SELECT '>match_' || n || '_' || i || '_path_1' || chr(10) || {_MARKED.format(x="b_seq", y="a_seq")} FROM nr""",
+    "bubble_colours": _FOUND_SQL.replace(_MERS, f"{_MERS}, {FASTA_SQL}, {kmers_sql('fasta', GRAPH_K, 'ck')}", 1) + f""", cs AS (SELECT kmer, 0 AS colour, count(*) AS n FROM ck GROUP BY kmer UNION ALL SELECT kmer, 1, count(*) FROM rk GROUP BY kmer),
+pth AS (SELECT "start", "end", unnest([a_seq, b_seq]) AS seq FROM fb), inr AS (SELECT "start", "end", seq, substr(seq, i, {GRAPH_K}) AS x FROM (SELECT *, unnest(range(2, length(seq) - {GRAPH_K} + 1)) AS i FROM pth))
+SELECT "start", "end", seq, colour, c / (length(seq) - {GRAPH_K + 1}) AS mean_coverage FROM (SELECT "start", "end", seq, colour, CAST(sum(n) AS BIGINT) AS c FROM inr JOIN cs ON kmer = least(x, {_RC.format(x="x")}) GROUP BY "start", "end", seq, colour)""",
+    "pair_links": (_WALK_SQL + _NODES_SQL).replace(_MERS, _MERS + f""", hn AS (SELECT read_id, seq, greatest((length(seq) - {GRAPH_K - 2}) // 2, 0) AS n FROM reads), h1 AS (SELECT read_id, substr(seq, 1, n + {GRAPH_K - 1}) AS seq FROM hn), h2 AS (SELECT read_id, substr(seq, n + 1) AS seq FROM hn), {kmers_sql('h1', GRAPH_K, 'p1')}, {kmers_sql('h2', GRAPH_K, 'p2')}""", 1)
+    + """, at_ AS MATERIALIZED (SELECT kmer, min(head) AS u FROM nh GROUP BY kmer) SELECT a, b, least(count(*), 65535) AS n FROM (SELECT DISTINCT read_id, u AS a FROM p1 JOIN at_ USING (kmer)) JOIN (SELECT DISTINCT read_id, u AS b FROM p2 JOIN at_ USING (kmer)) USING (read_id) WHERE a <> b GROUP BY a, b""",
+    "connected_components": _WALK_SQL + _PARTS_SQL + "SELECT * FROM sizes",
+    "coverage_walks": _WALK_SQL + _PARTS_SQL + _STEPS_SQL + 'SELECT "start", dist, node FROM cw',
+    "component_consensus": _WALK_SQL + _PARTS_SQL + _STEPS_SQL + f""", grown AS (SELECT "start", string_agg(CASE WHEN dist > 0 THEN right(node, 1) ELSE '' END, '' ORDER BY dist) AS tail FROM cw GROUP BY "start")
+SELECT component, size, {_RC.format(x="b.tail")} || kmer || f.tail AS seq FROM seed JOIN sizes USING (component) JOIN grown f ON f."start" = kmer JOIN grown b ON b."start" = {_RC.format(x="kmer")}""",
+    "neighbourhood": _WALK_SQL + _PARTS_SQL + f""", near AS (SELECT kmer AS "start", kmer AS k, 0 AS depth FROM seed UNION SELECT "start", least(dst, {_RC.format(x="dst")}), depth + 1 FROM near JOIN lk ON lk.kmer = k WHERE depth < 10)
+SELECT "start", kmer, depth FROM (SELECT "start", k AS kmer, min(depth) AS depth, row_number() OVER (PARTITION BY "start" ORDER BY min(depth), k) AS r FROM near GROUP BY "start", k) WHERE r <= 200""",
     "spurious_links": _WALK_SQL + """SELECT DISTINCT ab.src, ab.dst FROM lk ab JOIN o a ON ab.src = a.node JOIN o b ON ab.dst = b.node JOIN lk ad ON ad.src = ab.src AND ad.dst <> ab.dst JOIN o d ON ad.dst = d.node
 JOIN lk cb ON cb.dst = ab.dst AND cb.src <> ab.src JOIN o c ON cb.src = c.node WHERE a.outs = 2 AND b.ins = 2 AND a.coverage >= 2 AND b.coverage >= 2 AND a.coverage - d.coverage = 1 AND b.coverage - c.coverage = 1""",
-    "paths_from": _WALK_SQL + """, top AS (SELECT kmer FROM g ORDER BY coverage DESC, kmer LIMIT 5),
-paths AS (SELECT kmer AS "start", kmer AS at_, kmer AS seq, 0 AS steps FROM top UNION ALL SELECT "start", dst, seq || base, steps + 1 FROM paths JOIN lk ON at_ = src SEMI JOIN o ON dst = node WHERE steps < 8) SELECT "start", seq, steps FROM paths""",
+    "paths_from": _WALK_SQL + """, paths AS (SELECT node AS "start", node AS at_, node AS seq, 0 AS steps FROM o WHERE outs > 1 UNION ALL SELECT "start", dst, seq || base, steps + 1 FROM paths JOIN lk ON at_ = src SEMI JOIN o ON dst = node WHERE steps < 8) SELECT "start", seq, steps FROM paths""",
     "graph_nodes": _GRAPH_SQL + "SELECT * FROM g",
     "graph_links": _GRAPH_SQL + "SELECT src, dst FROM lk",
     "node_degrees": _GRAPH_SQL + f"SELECT kmer, forward, reverse, {_KIND} FROM deg",
     "branch_nodes": _GRAPH_SQL + f"SELECT kind, count(*) AS n FROM (SELECT {_KIND} FROM deg) GROUP BY kind",
-    "low_coverage_prune": _GRAPH_SQL + """, l2 AS (SELECT kmer, src, base, least(dst, reverse(translate(dst, 'ACGT', 'TGCA'))) AS dk FROM lk), hi AS (SELECT * FROM g WHERE coverage > 1),
-kept AS (SELECT kmer, bit_or((1 << (instr('ACGT', base) - 1)) * CASE WHEN src = kmer THEN 1 ELSE 16 END) AS e FROM l2 WHERE dk IN (SELECT kmer FROM hi) GROUP BY kmer)
-SELECT kmer, coverage, CAST(coalesce(e, 0) AS INT) AS edges FROM hi LEFT JOIN kept USING (kmer)""",
+    "low_coverage_prune": _GRAPH_SQL.replace("lk AS (", "lk AS MATERIALIZED (").replace("g AS (", "g AS MATERIALIZED (") + ", gone AS MATERIALIZED (SELECT kmer FROM g WHERE coverage <= 1)" + _pruned_sql("gone"),
     "graph_export": _GRAPH_SQL + """SELECT '"' || kmer || '" [label="' || coverage || '"]' AS value FROM g UNION ALL SELECT '"' || kmer || '" -> "' || least(dst, reverse(translate(dst, 'ACGT', 'TGCA'))) || '" [label="' || base || '"]' FROM lk""",
 }
