@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strandmill.functions import kmer as K
 from strandmill.functions.seq import edge_bit, edge_count
+from strandmill.operators.codes import LONGEST, neighbours
 from strandmill.operators.kmers import FASTA_SQL, READS_SQL, count_kmers, fasta_reads, fastq_reads, kmers_sql, occurrences
-from strandmill.runtime import materialise
+from strandmill.runtime import materialise, measured
 
 rc = K.reverse_complement
 
@@ -36,7 +37,10 @@ def half_edges(reads: DataFrame, k: int, cut: int = 0) -> DataFrame:
 
 
 def build_graph(reads: DataFrame, k: int, cut: int = 0) -> DataFrame:
-    """Nodes with coverage and edge bytes. K-mers and half edges meet in one aggregation, each folded before the shuffle."""
+    """Nodes with coverage and edge bytes, folded before the shuffle. Up to k = 31 one pass gives each k-mer with the bases beside it; beyond, k-mers and half edges meet in one aggregation."""
+    if k <= LONGEST:
+        packed = neighbours(reads, k, cut).groupBy("code").agg(F.sum("n").alias("coverage"), F.bit_or("edges").alias("edges"))
+        return packed.select(K.unpack(F.col("code"), k).alias("kmer"), "coverage", "edges")
     edges = half_edges(reads, k, cut).select("kmer", F.lit(0).cast("bigint").alias("n"), edge_bit(F.col("base"), F.col("reverse")).alias("bit"))
     seen = occurrences(reads, k, cut=cut).select("kmer", F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("bit"))
     return seen.unionByName(edges).groupBy("kmer").agg(F.sum("n").alias("coverage"), F.bit_or("bit").alias("edges"))
@@ -90,15 +94,16 @@ def _rank(steps: DataFrame) -> DataFrame:
     """``(node, head, dist, cyclic)`` for ``(node, prev)`` where ``prev`` is null at a head; a cycle's head is its smallest node."""
 
     def double(table: DataFrame) -> tuple[DataFrame, int]:
-        last = None
+        last = before = None
         while True:
             ahead = table.select(F.col("node").alias("ptr"), F.col("ptr").alias("p2"), F.col("head").alias("h2"), F.col("dist").alias("d2"), F.col("low").alias("l2"))
             going = table.filter("ptr IS NOT NULL").join(ahead, "ptr").select("node", F.col("p2").alias("ptr"), F.col("h2").alias("head"), (F.col("dist") + F.col("d2")).alias("dist"), F.least("low", "l2").alias("low"))
-            table = materialise(table.filter("ptr IS NULL").unionByName(going.select(table.columns)), "rank")
-            state = table.filter("ptr IS NOT NULL").agg(F.count("*"), F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first()
-            if state[0] == 0 or tuple(state) == last:  # all done, or only cycles left, and their smallest nodes known
-                return table, state[0]
-            last = tuple(state)
+            active = F.col("ptr").isNotNull()
+            before, state = measured(table.filter("ptr IS NULL").unionByName(going.select(table.columns)), "rank", before, n=F.count_if(active), low=F.sum(F.when(active, F.pmod(F.xxhash64("low"), F.lit(1 << 31)))))
+            table = before
+            if state["n"] == 0 or state == last:  # all done, or only cycles left, and their smallest nodes known
+                return table, state["n"]
+            last = state
 
     start = steps.select("node", F.col("prev").alias("ptr"), F.when(F.col("prev").isNull(), F.col("node")).alias("head"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("bigint").alias("dist"), F.col("node").alias("low"))
     table, rest = double(start)
@@ -304,14 +309,15 @@ def remove_links(nodes: DataFrame, gone: DataFrame) -> DataFrame:
 def connected(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(v, label)``: the smallest vertex of each connected part of ``(v, w)`` pairs. Labels go to neighbours and then jump, until none changes."""
     ways = materialise(pairs.unionByName(pairs.select(F.col("w").alias("v"), F.col("v").alias("w"))).filter("v <> w").distinct(), "ways")
-    labels = materialise(vertices.select("v", F.col("v").alias("label")), "labels")
+    labels = after = materialise(vertices.select("v", F.col("v").alias("label")), "labels")
     while True:
         near = ways.join(labels.select(F.col("v").alias("w"), "label"), "w").select("v", "label")
         low = labels.unionByName(near).groupBy("v").agg(F.min("label").alias("new"))
         hop = low.join(low.select(F.col("v").alias("new"), F.col("new").alias("hop")), "new", "left").select("v", F.coalesce("hop", "new").alias("new"))
-        after = materialise(labels.join(hop, "v").select("v", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("changed")), "labels")
+        moved = labels.join(hop, "v").select("v", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("changed"))
+        after, seen = measured(moved, "labels", after, changed=F.count_if(F.col("changed")))
         labels = after.select("v", "label")
-        if after.filter("changed").isEmpty():
+        if not seen["changed"]:
             return labels
 
 
@@ -343,15 +349,15 @@ def coverage_walks(nodes: DataFrame, starts: DataFrame, longest: int = 200_000)
     """
     best = links(nodes).join(nodes.select(F.col("kmer").alias("dst_kmer"), F.col("coverage").alias("c")), "dst_kmer").groupBy("src").agg(F.min_by("dst", F.struct(-F.col("c"), F.col("base"))).alias("dst"))
     jump = materialise(best.select(F.col("src").alias("node"), F.col("dst").alias("to")), "jump")
-    reached = materialise(starts.select(F.col("node").alias("start"), F.lit(0).cast("bigint").alias("dist"), "node"), "reached")
-    step, n = 1, reached.count()
+    reached, seen = measured(starts.select(F.col("node").alias("start"), F.lit(0).cast("bigint").alias("dist"), "node"), "reached", n=F.count("*"))
+    step, n = 1, seen["n"]
     while step < longest:
         far = reached.join(jump, "node").select("start", (F.col("dist") + step).alias("dist"), F.col("to").alias("node"))
-        reached = materialise(reached.unionByName(far).groupBy("start", "node").agg(F.min("dist").alias("dist")).select("start", "dist", "node"), "reached")
-        if (more := reached.count()) == n:
+        reached, seen = measured(reached.unionByName(far).groupBy("start", "node").agg(F.min("dist").alias("dist")).select("start", "dist", "node"), "reached", reached, n=F.count("*"))
+        if seen["n"] == n:
             break
-        n, step = more, step * 2
-        jump = materialise(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("to2")), "to").select("node", F.col("to2").alias("to")), "jump")
+        n, step = seen["n"], step * 2
+        jump = materialise(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("to2")), "to").select("node", F.col("to2").alias("to")), "jump", jump)
     # Nodes reached by a walk that has gone round have kept their first distance; the walk is what is contiguous and new as a k-mer.
     w = Window.partitionBy("start", "k")
     first = reached.withColumn("k", K.canonical(F.col("node"))).withColumn("first", F.min("dist").over(w))
@@ -379,7 +385,7 @@ def neighbourhood(nodes: DataFrame, starts: DataFrame, depth: int = 10, most: in
         new = materialise(front.join(ways, "kmer").select("start", F.col("dst_kmer").alias("kmer")).distinct().join(seen, ["start", "kmer"], "left_anti"), "new")
         if new.isEmpty():
             break
-        seen = materialise(seen.unionByName(new.select("start", "kmer", F.lit(d).alias("depth"))), "near")
+        seen = materialise(seen.unionByName(new.select("start", "kmer", F.lit(d).alias("depth"))), "near", seen)
     nearest = F.row_number().over(Window.partitionBy("start").orderBy("depth", "kmer"))
     return seen.withColumn("_n", nearest).filter(F.col("_n") <= most).drop("_n")
 
@@ -404,10 +410,11 @@ def pair_links(first: DataFrame, second: DataFrame, members: DataFrame, k: int)
 
 
 def pair_signatures(reads: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """``(kmer, pairs, bits)``: the pairs that a node occurs in, exactly, and as 63 bits by their number."""
+    """``(kmer, n_pairs, bits, all_bits)``: how many pairs a node occurs in, and their numbers as 63 bits, united and intersected."""
     found = occurrences(reads, k, "read_id").join(nodes.select("kmer"), "kmer", "left_semi")
     bit = F.expr("bigint(1) << int(pmod(read_id, 63))")
-    return found.groupBy("kmer").agg(F.sort_array(F.collect_set("read_id")).alias("pairs"), F.bit_or(bit).alias("bits"))
+    once = found.groupBy("kmer", "read_id").agg(F.first(bit).alias("b"))  # a hot node's reads are folded task by task
+    return once.groupBy("kmer").agg(F.count("*").alias("n_pairs"), F.bit_or("b").alias("bits"), F.bit_and("b").alias("all_bits"))
 
 
 # -- export ----------------------------------------------------------------------------------------------------------
@@ -432,6 +439,18 @@ def wrapping(shape: str) -> tuple[str, str]:
     return _SHAPES[shape][0], _SHAPES[shape][3]
 
 
+def write_graph(nodes: DataFrame, shape: str, path: str) -> None:
+    """Write a graph as a folder of text whose files, one after another, are a valid document: what opens it, nodes, links, what closes it.
+
+    A global sort by part and hash keeps that order and deals nodes and links out to all tasks.
+    """
+    ends = [(part, text.rstrip("\n")) for part, text in zip((0, 3), wrapping(shape)) if text.strip()]
+    lines = export_lines(nodes, shape)
+    if ends:
+        lines = lines.unionByName(nodes.sparkSession.createDataFrame(ends, "part int, value string"))
+    lines.orderBy("part", F.xxhash64("value")).select("value").write.mode("errorifexists").text(path)
+
+
 # -- the test tables -------------------------------------------------------------------------------------------------
 
 GRAPH_K = 15
@@ -481,7 +500,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bubble_fasta": lambda s, d: bubble_text(find_bubbles(_graph(s, d), GRAPH_K)),
     "bubble_colours": lambda s, d: bubble_colours(find_bubbles(_graph(s, d), GRAPH_K), _coloured(s, d), GRAPH_K),
     "pair_links": lambda s, d: (lambda g: pair_links(_halves(s, d, True), _halves(s, d, False), unitig_members(g), GRAPH_K))(_graph(s, d)),
-    "pair_signatures": lambda s, d: pair_signatures(fastq_reads(s, d), _graph(s, d), GRAPH_K).select("kmer", "bits", F.size("pairs").alias("n_pairs")),
+    "pair_signatures": lambda s, d: pair_signatures(fastq_reads(s, d), _graph(s, d), GRAPH_K),
     "spurious_links": lambda s, d: spurious_links(_graph(s, d), 2, 1),
     "connected_components": lambda s, d: components(_graph(s, d)).groupBy("component").agg(F.count("*").alias("size")),
     "component_consensus": lambda s, d: (lambda g: consensus(g, components(g)))(_graph(s, d)),
@@ -551,7 +570,7 @@ _MARKED = "CASE WHEN length({x}) = length({y}) THEN array_to_string(list_transfo
 _SINGLETON = f"length(seq) < 100 AND ((left_edges = 0 AND right_edges = 0) OR (n_kmers = 1 AND (left_edges = 0 OR right_edges = 0)) OR avg_coverage < 2)"
 _REPETITIVE = f"left_edges > 1 AND right_edges > 1 AND (length(seq) < {2 * GRAPH_K} OR avg_coverage > 3 * (SELECT avg(coverage) FROM g))"
 SQL = {
-    "pair_signatures": _GRAPH_SQL + "SELECT kmer, bit_or(CAST(1 AS BIGINT) << CAST(read_id % 63 AS INT)) AS bits, count(DISTINCT read_id) AS n_pairs FROM rk GROUP BY kmer",
+    "pair_signatures": _GRAPH_SQL + "SELECT kmer, bit_or(CAST(1 AS BIGINT) << CAST(read_id % 63 AS INT)) AS bits, bit_and(CAST(1 AS BIGINT) << CAST(read_id % 63 AS INT)) AS all_bits, count(DISTINCT read_id) AS n_pairs FROM rk GROUP BY kmer",
     "unitigs": _WALK_SQL + "SELECT n_kmers, min_coverage, max_coverage, left_edges, right_edges, seq FROM uni",
     "contigs": _WALK_SQL + f"SELECT seq, n_kmers FROM uni WHERE NOT ({_SINGLETON}) AND NOT ({_REPETITIVE})",
     "unitig_stops": _WALK_SQL + "SELECT CASE x WHEN 0 THEN 'blunt' WHEN 1 THEN 'joins' ELSE 'branches' END AS reason, count(*) AS n FROM (SELECT left_edges AS x FROM uni UNION ALL SELECT right_edges FROM uni) GROUP BY 1",

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandmill.functions import kmer as K
-from strandmill.runtime import table
+from strandmill.operators.codes import LONGEST, count_codes, read_codes
+from strandmill.runtime import materialise, table
 
 HISTOGRAM_TOP = 20_000
 #: Taking a substring costs as much as its position; long sequences are therefore cut, with overlap, before they are exploded.
@@ -83,7 +84,9 @@ def reads_in_graph(reads: DataFrame, kmer_set: DataFrame, k: int) -> DataFrame:
 
 
 def count_kmers(reads: DataFrame, k: int, cut: int = 0, homopolymer: int = 0) -> DataFrame:
-    """``(kmer, coverage)``: partial counts before the shuffle, so a hot k-mer is one row a task."""
+    """``(kmer, coverage)``: partial counts before the shuffle, so a hot k-mer is one row a task. Up to k = 31 k-mers are counted packed."""
+    if k <= LONGEST and not homopolymer:
+        return count_codes(reads, k, cut).select(K.unpack(F.col("code"), k).alias("kmer"), "coverage")
     return occurrences(reads, k, cut=cut, homopolymer=homopolymer).groupBy("kmer").agg(F.count("*").alias("coverage"))
 
 
@@ -115,11 +118,20 @@ def hits_per_read(reads: DataFrame, reference: DataFrame, k: int, cut: int = 0)
 
     Every read comes out, reads without k-mers with 0. The engine broadcasts the reference only if it is small.
     """
+    if k <= LONGEST:
+        packed = reference.select("code") if "code" in reference.columns else reference.select(K.pack(F.col("kmer")).alias("code"))
+        return _hits_of(read_codes(reads, k, cut=cut), packed)
     ref = reference.select("kmer").distinct().withColumn("_in", F.lit(1))
     found = occurrences(reads, k, "read_id", cut=cut, outer=True).join(ref, "kmer", "left")
     return found.groupBy("read_id").agg(F.count("kmer").alias("n_kmers"), F.count("_in").alias("hits"))
 
 
+def _hits_of(coded: DataFrame, reference: DataFrame) -> DataFrame:
+    """Of ``(read_id, code, n)``, each k-mer of a read once, and the codes of the reference."""
+    found = coded.join(reference.select("code").distinct().withColumn("_in", F.lit(1)), "code", "left")
+    return found.groupBy("read_id").agg(F.sum("n").alias("n_kmers"), F.coalesce(F.sum(F.when(F.col("_in") == 1, F.col("n"))), F.lit(0)).alias("hits"))
+
+
 def hit_histogram(hits: DataFrame, top: int = HISTOGRAM_TOP) -> DataFrame:
     """``(no_of_kmers, count)``, dense from 0 to the largest number of hits; more than ``top`` count as ``top``."""
     counts = hits.groupBy(F.least(F.col("hits"), F.lit(top)).alias("no_of_kmers")).agg(F.count("*").alias("count"))
@@ -251,7 +263,7 @@ def kmers_sql(source: str, k: int, out: str, masked: str = MASK_SQL) -> str:
 
 
 def _hits(s: SparkSession, d: str) -> DataFrame:
-    return hits_per_read(fastq_reads(s, d), count_kmers(fasta_reads(s, d), SCREEN_K), SCREEN_K)
+    return hits_per_read(fastq_reads(s, d), count_codes(fasta_reads(s, d), SCREEN_K), SCREEN_K)
 
 
 HITS_SQL = f"""{READS_SQL}, {FASTA_SQL}, {kmers_sql('reads', SCREEN_K, 'rk')}, {kmers_sql('fasta', SCREEN_K, 'fk')}, ref AS (SELECT kmer, count(*) AS coverage FROM fk GROUP BY kmer),
@@ -260,11 +272,14 @@ hits AS (SELECT read_id, coalesce(n_kmers, 0) AS n_kmers, coalesce(hits, 0) AS h
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
-    reference, reads = count_kmers(fasta_reads(s, d), SCREEN_K), fastq_reads(s, d)
-    hits = _hits(s, d).agg(F.count("*").alias("sample_reads"), F.count_if(F.col("hits") > 0).alias("contaminated_reads"))
-    n = fasta_reads(s, d).agg(F.count("*").alias("reference_reads"))
-    both = update_coverage(reference, count_kmers(reads, SCREEN_K))
-    return contamination_report(both, "reads_fasta", "reads_fastq", SCREEN_K, F.col("reference_reads"), beside(hits, n))
+    """Reads and contigs are taken apart once; coverages, hits and totals come from the same rows."""
+    coded = materialise(read_codes(fastq_reads(s, d), SCREEN_K), "codes")
+    fasta = fasta_reads(s, d)
+    reference = materialise(count_codes(fasta, SCREEN_K), "reference")
+    hits = _hits_of(coded, reference).agg(F.count("*").alias("sample_reads"), F.count_if(F.col("hits") > 0).alias("contaminated_reads"))
+    own = coded.filter("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("coverage_1"))
+    both = reference.withColumnRenamed("coverage", "coverage_0").join(own, "code", "left").select("coverage_0", F.coalesce("coverage_1", F.lit(0)).alias("coverage_1"))
+    return contamination_report(both, "reads_fasta", "reads_fastq", SCREEN_K, F.col("reference_reads"), beside(hits, fasta.agg(F.count("*").alias("reference_reads"))))
 
 
 def _dump_report(s: SparkSession, d: str) -> DataFrame:

@@ -105,7 +105,7 @@ def assemble(spark: SparkSession, inputs: str | list[str], fmt: str, output: str
     found = materialise(found, "contigs")
     W.contig_text(found).write.mode("errorifexists").text(output)
     if shape:
-        G.export_lines(nodes, shape).orderBy("part").select("value").write.mode("errorifexists").text(f"{output}.{shape}")
+        G.write_graph(nodes, shape, f"{output}.{shape}")
     return found
 
 

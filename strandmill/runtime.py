@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,15 +36,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/strandmill/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
+    """A new path under the shared folder. What an application leaves there goes when its Python ends."""
+    home = f"{shared_dir(spark)}/strandmill/{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        atexit.register(_forget, spark, home)
+    return f"{home}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_homes: set[str] = set()
+
+
+def _forget(spark: SparkSession, home: str) -> None:
+    try:
+        remove(spark, home)
+    except Exception as e:  # the session may have been stopped, and its files with it
+        print(f"{home} was not removed: {type(e).__name__}", file=sys.stderr) if spark._jsc is not None and not spark._jsc.sc().isStopped() else None
+
+
+def materialise(df: DataFrame, what: str = "table", instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table of ``instead_of``, an earlier result of this function that nothing else reads any more, is deleted then.
+    """
+    return measured(df, what, instead_of)[0]
+
+
+def measured(df: DataFrame, what: str, instead_of: DataFrame | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``materialise``, with aggregates over the rows taken while they are written. After a lost task they may count rows twice."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, what)
+    seen = Observation()
+    (df.observe(seen, *[c.alias(n) for n, c in metrics.items()]) if metrics else df).write.parquet(path)
+    if (old := getattr(instead_of, "_scratch", None)) is not None:
+        remove(spark, old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    got = seen.get if metrics else {}
+    if metrics.keys() - got.keys():  # a plan that is found to be empty observes nothing
+        got = out.agg(*[c.alias(n) for n, c in metrics.items()]).first().asDict()
+    return out, got
 
 
 def remove(spark: SparkSession, path: str) -> None:
