@@ -88,7 +88,9 @@ def _check(k: int) -> None:
 
 
 def _plain(reads: DataFrame, key: str, cut: int) -> DataFrame:
-    return reads.select(key, "seq", *([F.col("qual").cast("array<int>")] if cut > 0 else []))
+    if cut <= 0:
+        return reads.select(key, "seq")
+    return reads.select(key, F.regexp_replace("seq", r"[^\x00-\x7F]", "N").alias("seq"), F.col("qual").cast("array<int>"))  # a byte a base, as qualities go by bases
 
 
 def read_codes(reads: DataFrame, k: int, key: str = "read_id", cut: int = 0) -> DataFrame:

@@ -342,13 +342,12 @@ def seeds(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     return nodes.join(parts, "kmer").groupBy("component").agg(F.count("*").alias("size"), F.min_by("kmer", order).alias("kmer"))
 
 
-def coverage_walks(nodes: DataFrame, starts: DataFrame, longest: int = 200_000) -> DataFrame:
-    """``(start, dist, node)``: from each oriented start always on to the neighbour of the highest coverage, the first base of equals.
+def follow(nexts: DataFrame, starts: DataFrame, longest: int = 200_000) -> DataFrame:
+    """``(start, dist, node)``: the walk from each oriented start along ``nexts`` ``(node, to)``, one row a node: a rule of any kind.
 
-    A walk ends at a blunt end, at ``longest`` nodes or where it would come back to a node of its own. Reached sets double in every round.
+    A walk ends where there is no next node, at ``longest`` nodes or where it would come back to a k-mer of its own. Reached sets double in every round.
     """
-    best = links(nodes).join(nodes.select(F.col("kmer").alias("dst_kmer"), F.col("coverage").alias("c")), "dst_kmer").groupBy("src").agg(F.min_by("dst", F.struct(-F.col("c"), F.col("base"))).alias("dst"))
-    jump = materialise(best.select(F.col("src").alias("node"), F.col("dst").alias("to")), "jump")
+    jump = materialise(nexts.select("node", "to"), "jump")
     reached, seen = measured(starts.select(F.col("node").alias("start"), F.lit(0).cast("bigint").alias("dist"), "node"), "reached", n=F.count("*"))
     step, n = 1, seen["n"]
     while step < longest:
@@ -365,6 +364,12 @@ def coverage_walks(nodes: DataFrame, starts: DataFrame, longest: int = 200_000)
     return reached.join(twice, "start", "left").filter((F.col("dist") < F.coalesce("stop", F.lit(longest))) & (F.col("dist") < longest)).select("start", "dist", "node")
 
 
+def coverage_walks(nodes: DataFrame, starts: DataFrame, longest: int = 200_000) -> DataFrame:
+    """``(start, dist, node)``: from each oriented start always on to the neighbour of the highest coverage, the first base of equals."""
+    best = links(nodes).join(nodes.select(F.col("kmer").alias("dst_kmer"), F.col("coverage").alias("c")), "dst_kmer").groupBy("src").agg(F.min_by("dst", F.struct(-F.col("c"), F.col("base"))).alias("dst"))
+    return follow(best.select(F.col("src").alias("node"), F.col("dst").alias("to")), starts, longest)
+
+
 def consensus(nodes: DataFrame, parts: DataFrame, least: int = 1) -> DataFrame:
     """``(component, size, seq)``: a coverage walk to both sides of the seed of each part of at least ``least`` nodes."""
     s = seeds(nodes, parts).filter(F.col("size") >= least)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["operators.parse_lines", "operators.kmers", "operators.readstats", "operators.graph", "operators.align", "streaming.screen", "plans.roundtrips"]
+MODULES = ["operators.parse_lines", "operators.kmers", "operators.readstats", "operators.graph", "operators.walks", "operators.align", "streaming.screen", "plans.roundtrips"]
 
 
 def _gather(what: str) -> dict:

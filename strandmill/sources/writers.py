@@ -43,3 +43,9 @@ def contig_text(contigs: DataFrame) -> DataFrame:
 def coverage_list(first: Column, coverages: Column, k: int) -> Column:
     """Coverages by base: the first k-mer's for the leading k - 1 bases, then one a k-mer."""
     return F.concat(F.array_repeat(first, k - 1), coverages)
+
+
+def write_coverage_tables(kmer_set: DataFrame, path: str) -> None:
+    """Two tables with tabs: ``<path>.tab``, how many k-mers have each coverage, and ``<path>_kmer.tab``, the coverage of each k-mer."""
+    write_tsv(kmer_set.groupBy("coverage").agg(F.count("*").alias("n_kmers")), f"{path}.tab", "errorifexists")
+    write_tsv(kmer_set.select("kmer", "coverage"), f"{path}_kmer.tab", "errorifexists")

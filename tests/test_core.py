@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandmill.functions import kmer as K, seq as S
 from strandmill.operators import kmers as M, readstats as RS
 from strandmill.plans import programs as P
+from strandmill.sources import set_image as IMG
 from strandmill.sources import kmer_files as KF, readers as R, writers as W
 from strandmill.streaming import screen as ST
 
@@ -167,8 +168,20 @@ def test_programs(spark, tmp_path):
     found = P.info(spark, at("ref"), 21, [genome[:21]])
     assert found["found"].count() == 1 and set(found) == {"summary", "spectrum", "found"}
     assert P.assemble(spark, at("ref.fa"), "FASTA", at("contigs"), shape="gml").filter(F.length("seq") > 200).count() <= 1
+    lines = [line for f in sorted((tmp_path / "contigs.gml").glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines[0].startswith("graph [") and lines[-1] == "]" and [x.split()[0] for x in lines[1:-1]] == sorted((x.split()[0] for x in lines[1:-1]), reverse=True)
+    (whole,) = P.assemble(spark, at("ref.fa"), "FASTA", at("walked"), walk="Y_WALK").collect()
+    assert min(whole.seq, whole.seq.translate(COMP)[::-1]) == min(genome, genome.translate(COMP)[::-1]) and whole.avg_coverage == 1.0
+    P.build(spark, at("1.fq"), "FASTQ", at("split"), four_line=True)
+    same = [{(r.kmer, r.coverage) for r in KF.read_kmers(spark, at(x)).collect()} for x in ("sample", "split")]
+    assert same[0] == same[1] and len(same[0]) > 400
     with pytest.raises(ValueError):
         P.build(spark, at("1.fq"), "FASTQ", at("even"), k=20)
+    image = spark.createDataFrame([("ACGTA", 3)], "kmer string, coverage bigint")
+    IMG.save_image(image, at("image"), 5)
+    assert IMG.load_image(spark, at("image"), 5).collect() == image.collect()
+    with pytest.raises(ValueError):
+        IMG.load_image(spark, at("image"), 7)
 
 
 def test_streams(spark, tmp_path):
