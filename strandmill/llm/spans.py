@@ -306,6 +306,7 @@ def _matches(found: DataFrame) -> DataFrame:
     """``(a, b, pa, pb, many)`` of each seed that two texts, a < b, have in common.
 
     A seed of more than ``HOT`` texts is dealt out: its texts on one side to several tasks, each of which gets all those on the other side.
+    Seeds are made twice, for their counts and for the join: making them costs less than keeping them.
     """
 
     def met(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
@@ -324,7 +325,7 @@ def _matches(found: DataFrame) -> DataFrame:
 def _chained(docs: DataFrame, classes: DataFrame, schema: str) -> DataFrame:
     """Seeds, matches, anchors, runs and chains of the class representatives, as rows of ``schema``."""
     texts = docs.select("doc_id", "text").join(classes.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    found = materialise(texts.mapInArrow(_seeding, "seed bigint, doc bigint, pos int, many boolean"), "seeds")
+    found = texts.mapInArrow(_seeding, "seed bigint, doc bigint, pos int, many boolean")
     by_pair = _matches(found).repartition("a", "b").sortWithinPartitions("a", "b", F.col("pb") - F.col("pa"), "pa")
     pairs = by_pair.mapInArrow(_melting, PAIRS)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
