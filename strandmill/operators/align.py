@@ -158,6 +158,38 @@ def variants(references: DataFrame, sequences: DataFrame, least_correct: int) ->
     return hit.select("ref_id", F.lit("BASE").alias("kind"), F.col("f").alias("from"), (F.col("i") + 1).alias("position"), F.col("t").alias("to")).unionByName(syn)
 
 
+def joined(references: DataFrame, reads: DataFrame, least_quality: int = 10, least_score: int = 40, window: int = 0, percent: float = 50.0) -> DataFrame:
+    """``(ref_id, seq, correct, peptide)``: the reads of each reference, mates as a rule, joined over it.
+
+    ``reads`` is ``(ref_id, read_id, seq, qual)``. Each is aligned in the best of its four orientations, its qualities turned with it, and votes in the
+    consensus; a sequence stays if more than ``percent`` per cent of its bases were voted. References without a read that aligns have no vote.
+    """
+    refs = references.select("ref_id", F.upper("seq").alias("ref_seq"))
+    pairs = refs.join(reads.select("ref_id", "read_id", "seq", "qual"), "ref_id")
+    best = align_best_of_four(pairs, "ref_seq", "seq", "ref_id", "read_id")
+    turned = best.join(reads.select("ref_id", "read_id", "qual"), ["ref_id", "read_id"]).withColumn("qual", F.when(F.col("way").isin(1, 2), F.reverse("qual")).otherwise(F.col("qual")))
+    found = consensus_sequences(consensus(refs.withColumnRenamed("ref_seq", "seq"), turned, least_quality, least_score, window))
+    return found.filter(F.col("correct") * 100 > F.length("seq") * percent).select("ref_id", "seq", "correct", S.translate_codons(F.col("seq")).alias("peptide"))
+
+
+def without_n(found: DataFrame, *columns: str) -> DataFrame:
+    """Variants none of whose sequences has an N, in either case; a null sequence has none."""
+    for c in columns:
+        found = found.filter(~F.coalesce(F.contains(F.upper(c), F.lit("N")), F.lit(False)))
+    return found
+
+
+def variant_filters(found: DataFrame, left: int = 25, right: int = 3, mapping_quality: int = 30, coverage: float = 2.0) -> DataFrame:
+    """Add ``passes``: flanks of at least ``left`` and ``right`` bases, the mapping quality, and for each allele the median of its coverages, all together.
+
+    ``found`` has ``flank_5``, ``flank_3``, ``mapq`` and ``allele_coverages``, one array an allele; anything missing fails.
+    """
+    middle = lambda a: F.when(F.size(a) % 2 == 1, F.get(F.sort_array(a), F.floor(F.size(a) / 2).cast("int")).cast("double")).otherwise((F.get(F.sort_array(a), (F.size(a) / 2).cast("int") - 1) + F.get(F.sort_array(a), (F.size(a) / 2).cast("int"))) / 2)
+    deep = F.forall("allele_coverages", lambda a: F.coalesce(middle(a) >= coverage, F.lit(False))) & (F.size("allele_coverages") > 0)
+    every = (F.length("flank_5") >= left) & (F.length("flank_3") >= right) & (F.col("mapq") >= mapping_quality) & deep
+    return found.withColumn("passes", F.coalesce(every, F.lit(False)))
+
+
 # -- masks and repairs -----------------------------------------------------------------------------------------------
 
 

@@ -87,7 +87,7 @@ def prefix_sums(df: DataFrame, group: str | None, order: list[str], value: str,
     """Add ``out``: the sum of ``value`` (not negative) over the rows of the same group up to this one in ``order``.
 
     A window would send a whole group to one task. Here rows are range-partitioned by (group, order), each partition
-    sums its own rows, and the totals of the partitions, one row for each partition and group in it, give the offsets.
+    sums its own rows. Only a partition's first group can go on from an earlier one, so there is at most one offset a partition.
     The result is a written table. ``order`` must be unique within a group for a reproducible result. Null values count 0.
     """
     keys = ([group] if group else []) + order
@@ -119,14 +119,18 @@ def prefix_sums(df: DataFrame, group: str | None, order: list[str], value: str,
 
     ranged = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     done = materialise(ranged.mapInArrow(local, schema), "sums")
-    at = [F.col(group)] if group else [F.lit(None).cast("string").alias("_none")]
-    totals = done.groupBy("_pid", *at).agg(F.max("_local").alias("t")).collect()  # partitions plus groups rows, at most
+    at = (F.col(group) if group else F.lit(None).cast("string")).alias("_g")
+    totals = done.groupBy("_pid", at).agg(F.max("_local").alias("t"))
+    spread = totals.groupBy(F.col("_g").alias("_s")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    ends = totals.join(spread, F.col("_g").eqNullSafe(F.col("_s"))).select("_pid", "_g", "t").collect()  # a partition shares its first and its last group at most
     before: dict = {}
     offsets = []
-    for pid, g, t in sorted(totals, key=lambda r: r[0]):
-        offsets.append((pid, g, before.get(g, 0)))
+    for pid, g, t in sorted(ends, key=lambda r: r[0]):
+        if g in before:
+            offsets.append((pid, g, before[g]))
         before[g] = before.get(g, 0) + t
     kind = df.schema[group].dataType if group else T.StringType()
     known = df.sparkSession.createDataFrame(offsets, T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_g", kind), T.StructField("_off", T.LongType())]))
     same = (F.col("_pid") == F.col("_p")) & ((F.col(group).eqNullSafe(F.col("_g"))) if group else F.lit(True))
-    return done.join(F.broadcast(known), same).withColumn(out, F.col("_local") + F.col("_off")).drop("_pid", "_local", "_p", "_g", "_off")
+    total = F.col("_local") + F.coalesce("_off", F.lit(0))
+    return done.join(F.broadcast(known), same, "left").withColumn(out, total).drop("_pid", "_local", "_p", "_g", "_off")  # one offset a partition at most

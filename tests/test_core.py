@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandmill.functions import kmer as K, seq as S
 from strandmill.operators import kmers as M, readstats as RS
 from strandmill.plans import programs as P
+from strandmill.runtime import prefix_sums
 from strandmill.sources import set_image as IMG
 from strandmill.sources import kmer_files as KF, readers as R, writers as W
 from strandmill.streaming import screen as ST
@@ -207,3 +208,15 @@ def test_read_statistics(spark):
     assert RS.n50(df).first().n50 == 6
     many = spark.range(20_000).select(F.col("id").alias("read_id"))
     assert abs(RS.bernoulli(many, 0.1, 1).count() - 2000) < 200 and RS.bernoulli(many, 0.0, 1).count() == 0 and RS.bernoulli(many, 1.0, 1).count() == 20_000
+
+
+@pytest.mark.parametrize("group", ["g", None])
+def test_prefix_sums_over_many_groups(spark, group):
+    rng = random.Random(11)
+    rows = [(rng.choice([None, 1, 1, 1, *range(500)]), i, rng.choice([None, 0, 3])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, i long, v long").repartition(5)
+    want, sums = {}, {}
+    for g, i, v in rows:
+        key = g if group else 0
+        want[i] = sums[key] = sums.get(key, 0) + (v or 0)
+    assert {r.i: r.s for r in prefix_sums(df, group, ["i"], "v", "s").collect()} == want
