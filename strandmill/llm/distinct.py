@@ -229,7 +229,8 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     rows = coded(raw, "run_day", "dump_id", "colour").select("code", day, "dump_id", "colour")
     cells = materialise(cell_bitmaps(rows, ["day", "dump_id", "colour"], "code", levels), "bitmaps")
     since = lambda c: F.datediff(c, F.lit("1970-01-01"))
-    sets = table(spark, sf_dir, "hash_table").select(F.col("snapshot_id").alias("set_id"), F.coalesce("dump_ids", F.array().cast("array<int>")).alias("members"), F.coalesce(since("from_day"), F.lit(1)).alias("from_day"), F.coalesce(since("to_day"), F.lit(0)).alias("to_day"), F.col("unique_kmers").alias("r"), F.get("colour_kmers", F.lit(0)).alias("r_0"), F.get("colour_kmers", F.lit(1)).alias("r_1"))
+    dated = F.col("from_day").isNotNull() & F.col("to_day").isNotNull()  # a set without its days is empty
+    sets = table(spark, sf_dir, "hash_table").select(F.col("snapshot_id").alias("set_id"), F.coalesce("dump_ids", F.array().cast("array<int>")).alias("members"), F.when(dated, since("from_day")).otherwise(1).alias("from_day"), F.when(dated, since("to_day")).otherwise(0).alias("to_day"), F.col("unique_kmers").alias("r"), F.get("colour_kmers", F.lit(0)).alias("r_0"), F.get("colour_kmers", F.lit(1)).alias("r_1"))
     return rows, cells, sets, levels
 
 

@@ -119,14 +119,14 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each kind of container what must hold: every document whole and once, no container over its capacity, nothing split that fits, nothing overlapping.
 
-    ``tight``: the containers are at most a twentieth, and one, more than the tokens need.
+    Documents without a doc_id are packed, but can't be followed. ``tight``: the containers are at most a twentieth, and one, more than the tokens need.
     """
     caps = _capacities(spark, sf_dir)
     sizes = materialise(token_lengths(table(spark, sf_dir, "documents"), "doc_id", "text"), "tokens")
     packed = materialise(pack_items(sizes, caps), "packed") if caps else pack_items(sizes, caps)
     room = F.coalesce(*[F.when(F.col("container") == n, F.lit(c)) for n, c in caps.items()], F.lit(None).cast("int"))
-    pieces = packed.groupBy("container", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("parts"), F.sum(F.col("start_token")).alias("starts"))
-    every = sizes.select("doc_id", F.col("n_tokens").alias("size"), F.explode(F.array(*[F.lit(n) for n in caps]).cast("array<string>")).alias("container"))
+    pieces = packed.filter("doc_id IS NOT NULL").groupBy("container", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("parts"), F.sum(F.col("start_token")).alias("starts"))
+    every = sizes.filter("doc_id IS NOT NULL").select("doc_id", F.col("n_tokens").alias("size"), F.explode(F.array(*[F.lit(n) for n in caps]).cast("array<string>")).alias("container"))
     both = every.join(pieces, ["container", "doc_id"], "full").withColumn("room", room)
     want = F.greatest(F.ceil(F.col("size") / F.col("room")), F.lit(1))
     one = lambda c: F.sum(c.cast("int"))

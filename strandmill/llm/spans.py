@@ -5,7 +5,8 @@ k such that a window spans ``SPAN`` characters, so that a common span of that le
 joined; matches of a pair that overlap on one diagonal melt into anchors. On the texts anchors grow to their full length, at
 most a window to either side; those of at least ``SPAN`` characters are the exact runs that a pair shares, and they are chained
 with gap costs through a Fenwick tree. A chain, aligned by its runs, is a passage that the two texts share up to edits. A
-pair counts as soon as it has a chain. Equal texts are one class, and only its representative is compared.
+pair counts as soon as it has a chain. Equal texts are one class, and only its representative is compared. A row without a
+doc_id is no record: it shares nothing, and nothing is shared with it.
 """
 
 from __future__ import annotations
