@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strandmill.functions import seq as S
-from strandmill.functions.kmer import reverse_complement
 from strandmill.operators.kmers import fastq_reads, occurrences
 from strandmill.runtime import materialise
 
@@ -76,18 +75,166 @@ def local_alignment(a: str, b: str, rule: str = "default") -> tuple:
     return (top, i, end_a, j, end_b, left_a, left_b, matches, mismatches, gaps, longest)
 
 
-def align(pairs: DataFrame, a: str, b: str, *carry: str, rule: str = "default") -> DataFrame:
-    """``(*carry, fields of the alignment)`` for each row; a null sequence aligns like an empty one."""
-    rows = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b"), *carry)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[2:])
+#: Bytes of one block's scores, and pairs of a block, at most; a single pair may take more.
+BLOCK_BYTES, BLOCK_PAIRS = 24 << 20, 512
+_PAD = 0x80
+_SYMBOL = np.arange(256, dtype=np.uint8) & 0x7F
+_SYMBOL[list(b"ACGT")], _SYMBOL[:4] = np.arange(4), list(b"ACGT")  # other ASCII symbols keep their number, so each equals itself only
+_TURN = bytes.maketrans(b"ACGT", b"TGCA")
+_WAYS: tuple[Callable[[bytes], bytes], ...] = (lambda s: s, lambda s: s.translate(_TURN)[::-1], lambda s: s[::-1], lambda s: s.translate(_TURN))
+
+
+def _packed(seqs: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and bytes of a block, a column a sequence, filled up with a symbol that fits nothing."""
+    width = max(map(len, seqs))
+    raw = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in seqs), np.uint8).reshape(len(seqs), width)
+    codes = np.where(np.arange(width) < np.array([len(s) for s in seqs])[:, None], _SYMBOL[raw], pad).astype(np.uint8)
+    return np.ascontiguousarray(codes.T), raw
+
+
+def _scored(p: np.ndarray, q: np.ndarray, rule: str, keep: bool) -> np.ndarray:
+    """Best scores of a block of pairs; with ``keep`` all scores, by anti-diagonal, position in a and pair.
+
+    The scores of cells beyond a shorter pair's ends are below those of cells within, so they are never the best.
+    """
+    match, transition, transversion, gap, other = RULES[rule]
+    (n, w), m = p.shape, len(q)
+    kind = np.int16 if match * min(n, m) < 30_000 else np.int32
+    score = np.zeros((n + m + 1 if keep else 3, n + 1, w), kind)
+    best, back = np.zeros((n + 1, w), kind), np.ascontiguousarray(q[::-1])
+    plain = max(int(p.max()), int(q.max())) < 4
+    for d in range(2, n + m + 1):
+        lo, hi = max(1, d - m), min(n, d - 1)
+        x, y = p[lo - 1 : hi], back[m - d + lo : m - d + hi + 1]
+        change = x ^ y
+        s = (change == 2).view(np.int8) * np.int8(transition - transversion)
+        s += np.int8(transversion)
+        if not plain:
+            both = x | y
+            np.copyto(s, np.int8(other), where=both > 3)
+        np.copyto(s, np.int8(match), where=change == 0)
+        if not plain:
+            np.copyto(s, np.int8(-100), where=both >= _PAD)
+        now, one, two = (score[(d - i) if keep else (d - i) % 3] for i in (0, 1, 2))
+        cell = np.maximum(one[lo - 1 : hi], one[lo : hi + 1])
+        cell += kind(gap)
+        np.maximum(cell, two[lo - 1 : hi] + s, out=cell)
+        np.maximum(cell, 0, out=cell)
+        now[lo : hi + 1] = cell
+        if keep:
+            continue
+        now[lo - 1] = 0  # what an earlier diagonal has left beside this one
+        if hi < n:
+            now[hi + 1] = 0
+        np.maximum(best[lo : hi + 1], cell, out=best[lo : hi + 1])
+    return score if keep else best.max(0)
+
+
+def _traced(a: list[bytes], b: list[bytes], rule: str) -> list[list]:
+    """The columns of ``ALIGNED`` for a block of pairs, as of ``local_alignment``."""
+    (p, raw_a), (q, raw_b) = _packed(a, _PAD), _packed(b, _PAD | 1)
+    score, w = _scored(p, q, rule, True), len(a)
+    each = np.arange(w)
+    top = score.max((0, 1))
+    hit = score == top
+    i = len(p) - hit.any(0)[::-1].argmax(0)
+    d = len(score) - 1 - hit[:, i, each][::-1].argmax(0)
+    j, some = d - i, top > 0
+    i[~some], j[~some] = 0, 0
+    end_a, end_b = i.copy(), j.copy()
+    out_a, out_b, on = [], [], each[some]
+    first = True
+    while len(on):
+        u, v = i[on], j[on]
+        diagonal, up, left = score[u + v - 2, u - 1, on], score[u + v - 1, u - 1, on], score[u + v - 1, u, on]
+        straight = (diagonal >= up) & (diagonal >= left) | first
+        first = False
+        in_a, in_b = straight | (up > left), straight | (up <= left)
+        line_a, line_b = np.zeros(w, np.uint8), np.zeros(w, np.uint8)
+        line_a[on], line_b[on] = np.where(in_a, raw_a[on, u - 1], 45), np.where(in_b, raw_b[on, v - 1], 45)
+        out_a.append(line_a), out_b.append(line_b)
+        u, v = u - in_a, v - in_b
+        i[on], j[on] = u, v
+        on = on[(u > 0) & (v > 0) & (score[u + v, u, on] > 0)]
+    steps = len(out_a)
+    x, y = (np.ascontiguousarray(np.array(o[::-1], np.uint8).reshape(steps, w).T) for o in (out_a, out_b))
+    there, same = x > 0, (x == y) & (x > 0)
+    gaps = there & ((x == 45) | (y == 45))
+    count = np.cumsum(same, 1, dtype=np.int64)
+    longest = (count - np.maximum.accumulate(np.where(same, 0, count), 1)).max(1, initial=0)
+    skip = steps - there.sum(1)
+    text = lambda o: [o[r, s:].tobytes().decode("ascii") for r, s in enumerate(skip.tolist())]
+    numbers = (same.sum(1), (there & ~same & ~gaps).sum(1), gaps.sum(1), longest)
+    return [top.tolist(), i.tolist(), end_a.tolist(), j.tolist(), end_b.tolist(), text(x), text(y), *[c.tolist() for c in numbers]]
+
+
+def _blocks(a: list[bytes], b: list[bytes], rows: list[int], keep: bool) -> Iterator[list[int]]:
+    """The rows in blocks of similar lengths."""
+    block, n, m = [], 0, 0
+    for r in sorted(rows, key=lambda r: (len(a[r]), len(b[r]))):
+        n, m = max(n, len(a[r])), max(m, len(b[r]))
+        if block and (len(block) == BLOCK_PAIRS or 2 * (n + m + 1 if keep else 6) * (n + 1) * (len(block) + 1) > BLOCK_BYTES):
+            yield block
+            block, n, m = [], len(a[r]), len(b[r])
+        block.append(r)
+    if block:
+        yield block
+
+
+def alignments(a: list[str | None], b: list[str | None], rule: str = "default") -> list[list]:
+    """The columns of ``ALIGNED`` for many pairs: as ``local_alignment``, but a block of pairs at once."""
+    a, b = ([(s or "").upper() for s in x] for x in (a, b))
+    out: list[list] = [[0] * len(a) if t != pa.string() else [""] * len(a) for t in _KINDS]
+    plain = [bool(x) and bool(y) and x.isascii() and y.isascii() and "\0" not in x + y for x, y in zip(a, b)]
+    x, y = ([s.encode() if ok else b"" for s, ok in zip(o, plain)] for o in (a, b))
+    for block in _blocks(x, y, [r for r, ok in enumerate(plain) if ok], True):
+        for to, got in zip(out, _traced([x[r] for r in block], [y[r] for r in block], rule)):
+            for r, v in zip(block, got):
+                to[r] = v
+    for r in (r for r, ok in enumerate(plain) if not ok and a[r] and b[r]):
+        for to, v in zip(out, local_alignment(a[r], b[r], rule)):
+            to[r] = v
+    return out
+
+
+def best_ways(a: list[str | None], b: list[str | None], rule: str = "default") -> tuple[list[int], list[int], list[str]]:
+    """For each pair the best of b as it is, reverse complement, reverse and complement, its score, and b turned that way; of equals the first."""
+    a, b = ([(s or "").upper() for s in x] for x in (a, b))
+    turn = str.maketrans("ACGT", "TGCA")
+    texts = (lambda s: s, lambda s: s.translate(turn)[::-1], lambda s: s[::-1], lambda s: s.translate(turn))
+    best, score = [0] * len(a), [0] * len(a)
+    plain = [bool(x) and bool(y) and x.isascii() and y.isascii() and "\0" not in x + y for x, y in zip(a, b)]
+    x, y = ([s.encode() if ok else b"" for s, ok in zip(o, plain)] for o in (a, b))
+    for block in _blocks(x, y, [r for r, ok in enumerate(plain) if ok], False):
+        p, _ = _packed([x[r] for r in block], _PAD)
+        every = np.array([_scored(p, _packed([turned(y[r]) for r in block], _PAD | 1)[0], rule, False) for turned in _WAYS])
+        for r, way, top in zip(block, every.argmax(0).tolist(), every.max(0).tolist()):
+            best[r], score[r] = way, top
+    for r in (r for r, ok in enumerate(plain) if not ok and a[r] and b[r]):
+        tops = [local_alignment(a[r], t(b[r]), rule)[0] for t in texts]
+        best[r], score[r] = tops.index(max(tops)), max(tops)
+    return best, score, [texts[way](s) for way, s in zip(best, b)]
+
+
+_FIELDS = [f.split()[0] for f in ALIGNED.split(", ")]
+
+
+def _over_pairs(rows: DataFrame, made: Callable[[list, list], tuple[list, list, list]], schema: str) -> DataFrame:
+    """The columns after the first two, and those that are made of the first two."""
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [local_alignment(x or "", y or "", rule) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate(_KINDS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *cols], names=[*batch.schema.names[2:], *[f.split()[0] for f in ALIGNED.split(", ")]])
+            cols, kinds, names = made(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=[*batch.schema.names[2:], *names])
+
+    return rows.mapInArrow(run, kept + schema)
+
 
-    return rows.mapInArrow(run, schema + ALIGNED)
+def align(pairs: DataFrame, a: str, b: str, *carry: str, rule: str = "default") -> DataFrame:
+    """``(*carry, fields of the alignment)`` for each row; a null sequence aligns like an empty one."""
+    rows = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b"), *carry)
+    return _over_pairs(rows, lambda x, y: (alignments(x, y, rule), _KINDS, _FIELDS), ALIGNED)
 
 
 def identity() -> Column:
@@ -95,14 +242,20 @@ def identity() -> Column:
     return F.when(F.length("a_aligned") > 0, F.col("matches") / F.length("a_aligned")).otherwise(0.0)
 
 
-def align_best_of_four(pairs: DataFrame, a: str, b: str, *keys: str, rule: str = "default") -> DataFrame:
-    """The best of b as it is, reverse complement, reverse and complement, by score; of equals the first. ``keys`` identify a pair."""
-    s = F.col(b)
-    ways = F.array(*[F.struct(F.lit(i).alias("way"), x.alias("s")) for i, x in enumerate((s, reverse_complement(s), F.reverse(s), S.complement(s)))])
-    every = align(pairs.select(*keys, a, F.explode(ways).alias("w")).select(*keys, a, "w.way", F.col("w.s").alias("_s")), a, "_s", *keys, "way", rule=rule)
-    fields = [f.split()[0] for f in ALIGNED.split(", ")]
-    best = every.groupBy(*keys).agg(F.max_by(F.struct("way", *fields), F.struct("score", -F.col("way"))).alias("r"))
-    return best.select(*keys, "r.*")
+def align_best_of_four(pairs: DataFrame, a: str, b: str, *keys: str, rule: str = "default", traced: bool = True) -> DataFrame:
+    """The best of b as it is, reverse complement, reverse and complement, by score; of equals the first. ``keys`` identify a pair.
+
+    Only scores are made of all four, the alignment of the best one; without ``traced`` just ``way`` and ``score`` are returned.
+    """
+    rows = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b"), *keys)
+
+    def made(x: list, y: list) -> tuple[list, list, list]:
+        ways, scores, turned = best_ways(x, y, rule)
+        if not traced:
+            return [ways, scores], [pa.int32()] * 2, ["way", "score"]
+        return [ways, *alignments(x, turned, rule)], [pa.int32(), *_KINDS], ["way", *_FIELDS]
+
+    return _over_pairs(rows, made, f"way int, {ALIGNED}" if traced else "way int, score int")
 
 
 def numt_score(length_a: Column, least_identity: float, window: float) -> Column:
@@ -367,7 +520,7 @@ def _placed(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "local_alignment": lambda s, d: align(_placed(s, d), "ref_seq", "seq", "read_id", "ref_id").withColumn("identity", identity()),
-    "best_orientation": lambda s, d: align_best_of_four(_placed(s, d), "ref_seq", "seq", "read_id", "ref_id").select("read_id", "ref_id", "way", "score"),
+    "best_orientation": lambda s, d: align_best_of_four(_placed(s, d), "ref_seq", "seq", "read_id", "ref_id", traced=False),
     "alignment_scores": lambda s, d: align(_placed(s, d), "ref_seq", "seq", "read_id", "ref_seq").select("read_id", numt_score(F.length("ref_seq"), 0.8, 0.1).alias("numt"), chimera_score(F.length("ref_seq"), 0.3, 0.8).alias("chimera")),
     "quality_consensus": lambda s, d: (lambda placed: consensus_sequences(consensus(_references(s, d).join(placed.select("ref_id"), "ref_id", "left_semi"), align(placed, "ref_seq", "seq", "ref_id", "qual"), 10, 40, 4)))(_placed(s, d)),
     "variants": lambda s, d: (lambda refs: variants(refs, consensus_sequences(consensus(refs, align(_placed(s, d), "ref_seq", "seq", "ref_id", "qual"), 10, 40)), 20))(_references(s, d)),

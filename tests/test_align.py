@@ -112,3 +112,23 @@ def test_variant_filters(spark):
     assert [r.passes for r in A.variant_filters(df.coalesce(1)).collect()] == [True] + [False] * 8
     some = spark.createDataFrame([("ACGT", "A"), ("ACnT", "A"), (None, "A"), ("A", "N")], "a string, b string")
     assert A.without_n(some, "a", "b").count() == 2
+
+
+def test_blocks_of_pairs_align_like_single_pairs(monkeypatch):
+    rng = random.Random(5)
+    turn = str.maketrans("ACGT", "TGCA")
+    a = ["".join(rng.choice("ACGTNacgt-R") if rng.random() < 0.2 else rng.choice("ACGT") for _ in range(rng.randrange(40))) for _ in range(120)] + [None, "ACG", "ACGé", "A\0G", "A\1G"]
+    b = [s[rng.randrange(5) :][: rng.randrange(1, 30)] + "".join(rng.choice("ACGTN-") for _ in range(rng.randrange(6))) for s in a[:120]] + ["ACG", None, "CGéT", "A\0GT", "A\2G"]
+    for rule, size in zip(A.RULES, (512, 1, 7, 512)):
+        monkeypatch.setattr(A, "BLOCK_PAIRS", size)
+        single = [A.local_alignment(x or "", y or "", rule) for x, y in zip(a, b)]
+        assert list(zip(*A.alignments(a, b, rule))) == single
+        ways = [[A.local_alignment(x or "", z, rule)[0] for z in (y, y.translate(turn)[::-1], y[::-1], y.translate(turn))] for x, y in zip(a, ((y or "").upper() for y in b))]
+        assert list(zip(*A.best_ways(a, b, rule)[:2])) == [(w.index(max(w)), max(w)) for w in ways]
+
+
+def test_best_orientation_shuffles_nothing_and_aligns_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(A, "local_alignment", None)  # plain pairs don't come one by one
+    df = spark.createDataFrame([(i, "ACCTGAGTCAATGCGTTACGGA", "TCCGTAACGCATTGACTCAGGT") for i in range(9)], "id int, a string, b string")
+    best = A.align_best_of_four(df, "a", "b", "id", traced=False)
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString() and {tuple(r)[1:] for r in best.collect()} == {(1, 44)}
