@@ -348,15 +348,22 @@ def variant_filters(found: DataFrame, left: int = 25, right: int = 3, mapping_qu
 
 def mask_primers(sequences: DataFrame, primers: dict[str, str], least_score: int) -> DataFrame:
     """``(id, seq)`` with N over every primer that aligns above the score at an end, and over all beyond it. Few primers, given as literals."""
-    list_ = F.array(*[F.struct(F.lit(k).alias("p"), F.lit(v).alias("primer")) for k, v in primers.items()])
-    pairs = sequences.select("id", "seq", F.explode(list_).alias("x")).select("id", "seq", "x.primer")
-    got = align(pairs, "seq", "primer", "id", "seq", "primer").filter(F.col("score") > least_score)
-    n, m = F.length("seq"), F.length("primer")
-    ends = got.groupBy("id").agg(F.min(F.when(F.col("start_a") >= n - m, F.col("start_a"))).alias("right"), F.max(F.when(F.col("end_a") <= m + 1, F.col("end_a"))).alias("left"))
-    out = sequences.join(ends, "id", "left")
-    l, r = F.coalesce("left", F.lit(0)), F.coalesce("right", n)
-    middle = F.substring(F.col("seq"), l + 1, F.greatest(r - l, F.lit(0)))
-    return out.select("id", F.when(r > l, F.concat(F.repeat(F.lit("N"), l), middle, F.repeat(F.lit("N"), n - r))).otherwise(F.repeat(F.lit("N"), n)).alias("seq"))
+    scored, starts, ends = (_FIELDS.index(f) for f in ("score", "start_a", "end_a"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = batch.column(1).to_pylist()
+            left, right = [0] * len(seqs), [len(s or "") for s in seqs]
+            for primer in primers.values():
+                got, m = alignments(seqs, [primer] * len(seqs)), len(primer)
+                for r, (score, start, end) in enumerate(zip(got[scored], got[starts], got[ends])):
+                    if score > least_score and seqs[r] is not None:
+                        right[r] = min(right[r], start) if start >= len(seqs[r]) - m else right[r]
+                        left[r] = max(left[r], end) if end <= m + 1 else left[r]
+            masked = [s if s is None else "N" * l + s[l:r] + "N" * (len(s) - r) if r > l else "N" * len(s) for s, l, r in zip(seqs, left, right)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masked, pa.string())], names=["id", "seq"])
+
+    return sequences.select("id", "seq").mapInArrow(run, f"id {sequences.schema['id'].dataType.simpleString()}, seq string")
 
 
 def mask_match(sequence: str, mask: str, search_window: int = 10, max_mismatches: int = 1) -> tuple[int, int, int]:

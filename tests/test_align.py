@@ -132,3 +132,11 @@ def test_best_orientation_shuffles_nothing_and_aligns_in_blocks(spark, monkeypat
     df = spark.createDataFrame([(i, "ACCTGAGTCAATGCGTTACGGA", "TCCGTAACGCATTGACTCAGGT") for i in range(9)], "id int, a string, b string")
     best = A.align_best_of_four(df, "a", "b", "id", traced=False)
     assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString() and {tuple(r)[1:] for r in best.collect()} == {(1, 44)}
+
+
+def test_primers_are_masked_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(A, "local_alignment", None)  # plain pairs don't come one by one
+    df = spark.createDataFrame([(1, "TTACGTACGTTTTTGGGGTTTT"), (2, None), (3, ""), (4, "ggggttttGGGTTACGTACG"), (5, "TTACGTACG"), (None, "TTACGTACGTTTTTGGGGTTTT")], "id long, seq string")
+    out = A.mask_primers(df, {"p": "TTACGTACG", "q": "CCCCC"}, 10)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.seq for r in out.collect()} == {1: "N" * 9 + "TTTTTGGGGTTTT", 2: None, 3: "", 4: "ggggttttGGG" + "N" * 9, 5: "N" * 9, None: "N" * 9 + "TTTTTGGGGTTTT"}
