@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strandmill.functions import seq as S
@@ -273,6 +274,30 @@ def chimera_score(length_a: Column, least: float, most: float) -> Column:
 # -- consensus -------------------------------------------------------------------------------------------------------
 
 
+_BASES = 1 << 21  # more than there are code points
+
+
+def _voting(batches: Iterator[pa.RecordBatch], least_quality: int) -> Iterator[pa.RecordBatch]:
+    """``(ref_id, pos, v)`` of the columns of alignments; v is the negative quality times ``_BASES`` and the read's base."""
+    points = lambda column: np.frombuffer("".join(column.to_pylist()).encode("utf-32-le"), np.uint32)
+    for batch in batches:
+        x, y = points(batch.column(1)), points(batch.column(2))
+        n = pc.utf8_length(batch.column(1)).to_numpy()
+        row, first = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
+
+        def place(symbols: np.ndarray, start: np.ndarray) -> np.ndarray:
+            seen = np.r_[0, np.cumsum(symbols != 45)]
+            return start[row] + seen[1:] - seen[first] - 1
+
+        pos, at = place(x, batch.column(3).to_numpy()), place(y, batch.column(4).to_numpy())
+        size = pc.fill_null(pc.list_value_length(batch.column(5)), 0).to_numpy()
+        flat = np.r_[pc.fill_null(batch.column(5).flatten(), 0).to_numpy(), 0]
+        has = (at >= 0) & (at < size[row])
+        q = np.where(has, flat[np.where(has, (np.cumsum(size) - size)[row] + at, len(flat) - 1)], 0).astype(np.int64)
+        use = (x != 45) & (y != 45) & (y != ord("N")) & (q > least_quality)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[use])), pa.array(pos[use].astype(np.int32)), pa.array(-q[use] * _BASES + y[use])], names=["ref_id", "pos", "v"])
+
+
 def consensus(references: DataFrame, alignments: DataFrame, least_quality: int, least_score: int, window: int = 0) -> DataFrame:
     """``(ref_id, pos, ref, base, quality)``: by position the read base of the highest quality, else the reference's in lower case.
 
@@ -281,10 +306,13 @@ def consensus(references: DataFrame, alignments: DataFrame, least_quality: int,
     of equal qualities the smaller base. With a ``window``, a position gets its reference base in lower case if the lowest
     quality from half a window before it to half a window after it, exclusive, is below ``least_quality``.
     """
-    cols = F.transform(S.letters(F.col("a_aligned")), lambda c, i: F.struct(c.alias("a"), F.substring(F.col("b_aligned"), i + 1, F.lit(1)).alias("b"), (F.col("start_a") + F.length(F.replace(F.substring(F.col("a_aligned"), F.lit(1), i + 1), F.lit("-"), F.lit(""))) - 1).alias("pos"), (F.col("start_b") + F.length(F.replace(F.substring(F.col("b_aligned"), F.lit(1), i + 1), F.lit("-"), F.lit(""))) - 1).alias("at")))
-    each = alignments.filter(F.col("score") > least_score).select("ref_id", "qual", F.explode(cols).alias("c")).filter("c.a <> '-' AND c.b NOT IN ('-', 'N')")
-    votes = each.select("ref_id", F.col("c.pos").alias("pos"), F.col("c.b").alias("b"), F.coalesce(F.get("qual", F.col("c.at")), F.lit(0)).alias("q")).filter(F.col("q") > least_quality)
-    top = votes.groupBy("ref_id", "pos").agg(F.max("q").alias("quality"), F.min_by("b", F.struct(-F.col("q"), F.col("b"))).alias("vote"))
+    rows = alignments.filter(F.col("score") > least_score).select("ref_id", "a_aligned", "b_aligned", "start_a", "start_b", F.col("qual").cast("array<int>").alias("qual"))
+    kind = references.schema["ref_id"].dataType.simpleString()
+    # A vote is one number, so that it is folded by hash: the higher quality first, then the smaller base.
+    votes = rows.mapInArrow(lambda batches: _voting(batches, least_quality), f"ref_id {rows.schema['ref_id'].dataType.simpleString()}, pos int, v bigint").withColumn("ref_id", F.col("ref_id").cast(kind))
+    top = votes.groupBy("ref_id", "pos").agg(F.min("v").alias("v"))
+    base = F.decode(F.unhex(F.lpad(F.hex(F.pmod("v", F.lit(_BASES))), 8, "0")), "UTF-32")
+    top = top.select("ref_id", "pos", (-F.floor(F.col("v") / _BASES)).cast("int").alias("quality"), base.alias("vote"))
     every = references.select("ref_id", F.posexplode(S.letters(F.col("seq"))).alias("pos", "ref"))
     out = every.join(top, ["ref_id", "pos"], "left").select("ref_id", "pos", "ref", F.coalesce("vote", F.lower("ref")).alias("base"), F.coalesce("quality", F.lit(0)).alias("quality"))
     if window < 2:
@@ -303,8 +331,9 @@ def consensus_sequences(voted: DataFrame) -> DataFrame:
 def variants(references: DataFrame, sequences: DataFrame, least_correct: int) -> DataFrame:
     """``(ref_id, kind, from, position, to)``: changed bases, and by codon whether the amino acid changes; positions from 1."""
     both = references.select("ref_id", F.col("seq").alias("r")).join(sequences.filter(F.col("correct") > least_correct).select("ref_id", F.col("seq").alias("c")), "ref_id")
-    base = both.select("ref_id", F.posexplode(S.letters(F.upper("r"))).alias("i", "f"), S.translate_codons(F.col("r")).alias("rp"), S.translate_codons(F.col("c")).alias("cp"), F.upper("c").alias("c"))
-    hit = base.withColumn("t", F.substring(F.col("c"), F.col("i") + 1, F.lit(1))).filter("f <> t")
+    each = F.transform(S.letters(F.upper("r")), lambda f, i: F.struct(i.alias("i"), f.alias("f"), F.substring(F.upper("c"), i + 1, F.lit(1)).alias("t")))
+    changed = both.select("ref_id", F.explode(F.filter(each, lambda x: x["f"] != x["t"])).alias("x"), S.translate_codons(F.col("r")).alias("rp"), S.translate_codons(F.col("c")).alias("cp"))
+    hit = changed.select("ref_id", "x.i", "x.f", "x.t", "rp", "cp")
     codon = F.floor(F.col("i") / 3).cast("int") + 1
     amino = lambda p: F.substring(F.col(p), codon, F.lit(1))
     syn = hit.filter(codon <= F.length("rp")).select("ref_id", F.when(amino("rp") == amino("cp"), "SYN").otherwise("NO_SYN").alias("kind"), amino("rp").alias("from"), codon.alias("position"), amino("cp").alias("to"))
@@ -530,7 +559,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "best_orientation": lambda s, d: align_best_of_four(_placed(s, d), "ref_seq", "seq", "read_id", "ref_id", traced=False),
     "alignment_scores": lambda s, d: align(_placed(s, d), "ref_seq", "seq", "read_id", "ref_seq").select("read_id", numt_score(F.length("ref_seq"), 0.8, 0.1).alias("numt"), chimera_score(F.length("ref_seq"), 0.3, 0.8).alias("chimera")),
     "quality_consensus": lambda s, d: (lambda placed: consensus_sequences(consensus(_references(s, d).join(placed.select("ref_id"), "ref_id", "left_semi"), align(placed, "ref_seq", "seq", "ref_id", "qual"), 10, 40, 4)))(_placed(s, d)),
-    "variants": lambda s, d: (lambda refs: variants(refs, consensus_sequences(consensus(refs, align(_placed(s, d), "ref_seq", "seq", "ref_id", "qual"), 10, 40)), 20))(_references(s, d)),
+    "variants": lambda s, d: (lambda refs, placed: (lambda voted: variants(voted, consensus_sequences(consensus(voted, align(placed, "ref_seq", "seq", "ref_id", "qual"), 10, 40)), 20))(refs.join(placed.select("ref_id"), "ref_id", "left_semi")))(_references(s, d), _placed(s, d)),  # without a read a reference has no voted base
     "primer_masking": lambda s, d: mask_primers(fastq_reads(s, d).select(F.col("read_id").alias("id"), "seq"), {"left": "ACGTACGT", "right": "TTGACCGA"}, 8),
     "mask_repair": lambda s, d: repair_under_mask(fastq_reads(s, d).select(F.col("read_id").alias("id"), "seq"), "NNRYWSACGTNNNN"),
 }

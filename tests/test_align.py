@@ -140,3 +140,13 @@ def test_primers_are_masked_without_a_shuffle(spark, monkeypatch):
     out = A.mask_primers(df, {"p": "TTACGTACG", "q": "CCCCC"}, 10)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.seq for r in out.collect()} == {1: "N" * 9 + "TTTTTGGGGTTTT", 2: None, 3: "", 4: "ggggttttGGG" + "N" * 9, 5: "N" * 9, None: "N" * 9 + "TTTTTGGGGTTTT"}
+
+
+def test_votes_are_numbers_and_equal_ones_go_to_the_smaller_base(spark):
+    refs = spark.createDataFrame([(1, "ACGTé")], "ref_id long, seq string")
+    rows = [(1, 9, "AC-GT", "ATCGT", 0, 1, [99, 20, 30, 40, None, 50]), (1, 9, "ACGT", "GC-T", 0, 0, [20, 31, 12]), (1, 9, "é", "é", 4, 0, [15]), (1, 9, "A", "C", 0, 0, None), (1, 1, "A", "A", 0, 0, [99])]
+    df = spark.createDataFrame(rows, "ref_id long, score int, a_aligned string, b_aligned string, start_a int, start_b int, qual array<int>")
+    voted = A.consensus(refs, df, 10, 5)
+    assert "SortAggregate" not in voted._jdf.queryExecution().executedPlan().toString()
+    got = {r.pos: (r.ref, r.base, r.quality) for r in voted.collect()}
+    assert got == {0: ("A", "A", 20), 1: ("C", "C", 31), 2: ("G", "g", 0), 3: ("T", "T", 50), 4: ("é", "é", 15)}
