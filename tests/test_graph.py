@@ -211,3 +211,22 @@ def test_the_query_returns_circles(spark, tmp_path):
     assert sorted(r.n_kmers for r in rows) == [36, 40]
     [found] = [r.seq for r in rows if r.n_kmers == 40]
     assert {canon(found[i : i + 15]) for i in range(40)} == {canon((circle * 2)[i : i + 15]) for i in range(40)}
+
+
+def test_parts_are_labelled_in_one_task_or_after_contraction(spark, monkeypatch):
+    rng = random.Random(4)
+    names = [f"v{i:03d}" for i in rng.sample(range(1000), 120)]
+    pairs = [*zip(names[:60], names[1:60]), *[tuple(rng.sample(names[60:100], 2)) for _ in range(30)], (names[3], names[3])]
+    label = {n: n for n in names}
+    for _ in names:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    v, w = spark.createDataFrame([(n,) for n in names], "v string"), spark.createDataFrame(pairs, "v string, w string")
+    written = []
+    monkeypatch.setattr(G, "measured", lambda *a, _m=G.measured, **k: written.append(a[1]) or _m(*a, **k))
+    for most in (G.TOGETHER, 20, 0):
+        monkeypatch.setattr(G, "TOGETHER", most)
+        written.clear()
+        assert {r.v: r.label for r in G.connected(v, w).collect()} == label
+        assert most < 100 or len(written) == 1  # a long path takes no rounds
+    assert G.connected(v, w.filter("false")).filter("v = label").count() == len(names)
