@@ -55,3 +55,10 @@ def test_paths_between_two_nodes(spark):
     got = sorted(r.seq for r in walks.paths_between(bubble, node(start), node(end), 20).collect())
     assert got == ["TTGACCTACGGATTC", "TTGACCTTCGGATTC"]
     assert walks.paths_between(bubble, node(start), node(end), 7).count() == 0 and walks.paths_between(bubble, node(start), node(end), 20, 0).count() == 0
+
+
+def test_paths_between_has_the_joins_of_one_step_in_its_plan(spark):
+    bubble = graph(spark, ["TTGACCTACGGATTCAGC", "TTGACCTTCGGATTCAGC"])
+    node = lambda x: spark.createDataFrame([(x,)], "node string")
+    plan = walks.paths_between(bubble, node("TTGACCT"), node("CGGATTC"), 12)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
