@@ -230,3 +230,15 @@ def test_parts_are_labelled_in_one_task_or_after_contraction(spark, monkeypatch)
         assert {r.v: r.label for r in G.connected(v, w).collect()} == label
         assert most < 100 or len(written) == 1  # a long path takes no rounds
     assert G.connected(v, w.filter("false")).filter("v = label").count() == len(names)
+
+
+def test_a_neighbourhood_is_written_once_a_step_and_the_links_once(spark, monkeypatch):
+    seq = "TTGACCTACGGATTCAGCATCGTA"
+    g = G.build_graph(spark.createDataFrame([(1, seq)], "read_id long, seq string"), 7)
+    written = []
+    for name in ("materialise", "measured"):
+        monkeypatch.setattr(G, name, lambda *a, _f=getattr(G, name), **k: written.append(a[1]) or _f(*a, **k))
+    start = min(seq[:7], seq[:7][::-1].translate(str.maketrans("ACGT", "TGCA")))
+    got = G.neighbourhood(g, spark.createDataFrame([(start,)], "kmer string"), 3)
+    assert sorted(r.depth for r in got.collect()) == [0, 1, 2, 3]
+    assert written == ["ways"] + ["near"] * 4
