@@ -242,3 +242,67 @@ def test_a_neighbourhood_is_written_once_a_step_and_the_links_once(spark, monkey
     got = G.neighbourhood(g, spark.createDataFrame([(start,)], "kmer string"), 3)
     assert sorted(r.depth for r in got.collect()) == [0, 1, 2, 3]
     assert written == ["ways"] + ["near"] * 4
+
+
+def brute_consensus(cov, nxt):
+    """Of each part its size and the walks to both sides of its seed."""
+    part = {}
+    for x in sorted(cov):
+        if x not in part:
+            part[x], todo = x, [x]
+            while todo:
+                y = todo.pop()
+                for z in map(canon, nxt.get(y, set()) | nxt.get(rc(y), set())):
+                    if z not in part:
+                        part[z] = x
+                        todo.append(z)
+    for name in set(part.values()):
+        own = [x for x in part if part[x] == name]
+        seed = min(own, key=lambda x: (-cov[x], len(nxt.get(x, ())) + (len(nxt.get(rc(x), ())) if x != rc(x) else 0), x))
+        tails = []
+        for x in (seed, rc(seed)):
+            seen, tail = {seed}, ""
+            while nxt.get(x):
+                x = min(nxt[x], key=lambda y: (-cov[canon(y)], y[-1]))
+                if canon(x) in seen:
+                    break
+                seen.add(canon(x))
+                tail += x[-1]
+            tails.append(tail)
+        yield name, len(own), rc(tails[1]) + seed + tails[0]
+
+
+@pytest.mark.parametrize("k", (4, 5, 7, 33))
+def test_consensus_of_branched_parts_in_a_task_and_by_joins(spark, monkeypatch, k):
+    seqs = [f"{x}N{x[:k + 9]}N{y[:k]}{x[20:]}" for x in random_reads(k, *[k + 30] * 6) for y in [x[::-1]]] + ["ACG" * 12, "A" * 40, "CA" * 20]
+    cov, nxt = brute(seqs, k)
+    want = sorted(brute_consensus(cov, nxt))
+    nodes = G.materialise(G.build_graph(reads_df(spark, seqs), k))
+    parts = G.components(nodes)
+    for walked in (G.WALKED, 30) if k == 7 else (G.WALKED,):
+        monkeypatch.setattr(G, "WALKED", walked)
+        assert sorted(map(tuple, G.consensus(nodes, parts).collect())) == want
+        assert sorted(map(tuple, G.consensus(nodes, parts, 10).collect())) == [x for x in want if x[1] >= 10]
+
+
+def test_parts_that_a_task_holds_are_walked_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(G, "BULK", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        seqs = random_reads(8, *range(15, 60, 3))
+        nodes = G.materialise(G.build_graph(reads_df(spark, seqs), 13))
+        rows = G.consensus(nodes, G.components(nodes)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, rows)) == sorted(brute_consensus(*brute(seqs, 13)))
+
+
+def test_a_consensus_of_any_length_is_whole_and_takes_no_rounds(spark, monkeypatch):
+    [seq] = random_reads(9, 200_100)
+    nodes = G.materialise(G.build_graph(reads_df(spark, [seq]), 31))
+    written = []
+    for name in ("materialise", "measured"):
+        monkeypatch.setattr(G, name, lambda *a, _f=getattr(G, name), **k: written.append(a[1]) or _f(*a, **k))
+    [row] = G.consensus(nodes, G.components(nodes)).collect()
+    assert row.size == 200_070 and canon(row.seq) == canon(seq)
+    assert sorted(written) == ["labels", "ways"]
